@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from tessera.llm.common import scratch_path, table
+from tessera.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is 0.5 or more go; the model is learned as in op1."""
+    ship(spark)
     model = toxicity.fit(docs.filter(~toxicity.held_out()), table(spark, sf_dir, "labels"))
     return toxicity.keep(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -36,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -46,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(ship(spark), sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -181,8 +181,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                         col.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["query", "vec_id", "score", "inside"])
 
-    left = data.select("v", "ids", F.pmod("class", F.lit(shards)).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = query.select("v", "query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    left = data.select("v", "ids", F.pmod("class", F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = query.select("v", "query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(probe, "query long, vec_id long, score double, inside boolean")
     # k + 1 rows a query and shard.
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)

@@ -74,11 +74,11 @@ WITH sized AS (
     source_size * {mixing.LIMIT}::DOUBLE AS cap, (SELECT sum(source_size) FROM sources) * {mixing.SHARE}::DOUBLE AS total
   FROM sources
 ), levels AS (
-  SELECT *, (total - coalesce(sum(cap) OVER before, 0)) / sum(weight) OVER rest AS level FROM weighed
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place, (total - coalesce(sum(cap) OVER before, 0)) / sum(weight) OVER rest AS level FROM weighed
   WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          rest AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), level AS (
-  SELECT min(level) FILTER (WHERE level * weight <= cap) AS level FROM levels
+  SELECT arg_min(level, place) FILTER (WHERE level * weight <= cap) AS level FROM levels
 ), targets AS (
   SELECT source, source_size, least(cap, weight * level) AS target, CASE WHEN source_size > 0 THEN least(cap, weight * level) / source_size ELSE 0 END AS rate FROM weighed, level
 )

@@ -42,27 +42,28 @@ STRETCH, BATCH = 512, 200_000
 _SCAN = "doc_id long, n_words long, sha string, whole binary, marks array<struct<start int, n int, mark long>>"
 
 
-def window_marks(word: np.ndarray) -> np.ndarray:
-    """Mark of each window of a document, from the hashes of its words."""
+def window_marks(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the phrase that marks each window of a document (the first, if several are smallest), from the hashes of its words."""
     if len(word) < WINDOW:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     phrase = np.zeros(len(word) - PHRASE + 1, np.uint64)
     for k in range(PHRASE):
         phrase = phrase * np.uint64(0x9E3779B97F4A7C15) + word[k : len(word) - PHRASE + 1 + k]
     phrase ^= phrase >> np.uint64(31)
     phrase *= np.uint64(0x94D049BB133111EB)
     phrase ^= phrase >> np.uint64(29)
-    span, least, have = WINDOW - PHRASE + 1, phrase, 1
+    span, least, have = WINDOW - PHRASE + 1, np.arange(len(phrase)), 1
     while have < span:
         step = min(have, span - have)
-        least = np.minimum(least[:-step], least[step:])
+        left, right = least[:-step], least[step:]
+        least = np.where(phrase[left] <= phrase[right], left, right)
         have += step
-    return least
+    return least, phrase[least]
 
 
-def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and mark of the runs of windows that have one mark."""
-    start = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.zeros(0, np.int64)
+def _runs(place: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and mark of the runs of windows that are marked by one phrase at one place. Equal windows are never in one run, as their phrases stand apart."""
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(mark) else np.zeros(0, np.int64)
     return start, np.diff(np.r_[start, len(mark)]), mark[start]
 
 
@@ -76,7 +77,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = np.frombuffer(data, np.uint8)
             begin, end = word_spans(raw)
             digest = hashlib.sha256(b" ".join(data.split()))
-            parts.append(_runs(window_marks(run_hashes(raw, begin, end))))
+            parts.append(_runs(*window_marks(run_hashes(raw, begin, end))))
             offsets.append(offsets[-1] + len(parts[-1][0]))
             n_words.append(len(begin))
             sha.append(digest.hexdigest())
