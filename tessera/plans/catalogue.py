@@ -1,9 +1,16 @@
-"""All queries of the library by name."""
+"""All queries of the library by name, with the SQL of those that SQL can express."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import analytics, chat, corpus, files, pages, specs, streams
+from .registry import Query
 
+_MODULES = (corpus, chat, pages, specs, analytics, files, streams)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {name: q for m in _MODULES for name, q in m.registry.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s for m in _MODULES for name, s in m.registry.sql.items()}
