@@ -92,10 +92,16 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df hasn't, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (f"{base}_{i}" for i in range(len(taken) + 1)) if c not in taken)
+
+
 def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs, with one row of those that have the same id and the same text."""
     from pyspark.sql import Window
 
-    fresh = next(c for c in (f"row_{i}" for i in range(10**6)) if c not in docs.columns)
+    fresh = fresh_name(docs, "row")
     w = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)).orderBy(F.lit(0))
     return docs.withColumn(fresh, F.row_number().over(w)).filter(F.col(fresh) == 1).drop(fresh)

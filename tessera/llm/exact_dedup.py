@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, SPACES, checkpointed, one_row_per_id
+from .common import SPACE_BYTES, SPACES, checkpointed, fresh_name, one_row_per_id
 
 #: Characters of the normalised text at the head of the sort key; the digest follows them.
 PREFIX = 64
@@ -93,6 +93,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep"))
-    stay = docs.join(kept.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    keep = fresh_name(docs, "keep")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep))
+    stay = docs.join(kept.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
     return one_row_per_id(stay, id_col, text_col)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, one_row_per_id, slices
+from .common import checkpointed, fresh_name, one_row_per_id
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -260,6 +260,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, that of the smallest id, all columns as they were."""
-    stay = near_groups(docs, id_col, text_col).groupBy("component_id").agg(F.min("doc_id").alias("__keep"))
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    keep = fresh_name(docs, "keep")
+    stay = near_groups(docs, id_col, text_col).groupBy("component_id").agg(F.min("doc_id").alias(keep)).select(keep)
+    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
     return one_row_per_id(kept, id_col, text_col)

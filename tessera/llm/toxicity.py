@@ -143,7 +143,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     total = (size.join(known, "label_id").agg(F.sum("n")).first()[0] or 0) / 6
     share = min(1.0, max_words / max(1.0, total))
     picked = known.filter(F.pmod(F.xxhash64("label_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.filter(F.length(text_col) > 0).join(picked, F.col(id_col).cast("long") == F.col("label_id")).select("label_id", F.col("label").cast("int").alias("label"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") > 0)
+    return texts.join(picked, "label_id").select("label_id", F.col("label").cast("int").alias("label"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_words: int = SAMPLE_WORDS) -> tuple[np.ndarray, float, bool]:
