@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip
+
 #: Modules of the standard and community libraries; they are nobody's protocol.
 LIBRARY = (
     "Integers", "Naturals", "Reals", "Sequences", "FiniteSets", "Bags", "TLC", "TLCExt", "TLAPS", "TLAPSExt", "RealTime", "Randomization", "Functions", "SequencesExt", "FiniteSetsExt", "Folds",
@@ -93,7 +95,7 @@ def body(text: Column, name: str | Column, limit: int = 4000) -> Column:
     """A definition's right side, up to the next definition, separator or end; capped."""
     name = F.lit(name) if isinstance(name, str) else name
     pattern = F.concat(F.lit(r"(?ms)^\Q"), name, F.lit(r"\E\s*(?:\([^)\n]*\))?\s*==(.*?)(?=^\w+\s*(?:\([^)\n]*\))?\s*==|^={4,}|^-{4,}|\z)"))
-    return F.substring(F.trim(F.get(F.regexp_extract_all(text, pattern, 1), F.lit(0))), 1, limit)
+    return F.substring(strip(F.get(F.regexp_extract_all(text, pattern, 1), F.lit(0))), 1, limit)
 
 
 def called(body_text: Column, names: Column) -> Column:

@@ -44,7 +44,7 @@ def module_block(text: Column) -> Column:
     """From the first module header to its terminator, or to the end without one; null without a header."""
     whole = F.regexp_extract(text, r"(?s)(-{2,}\s*MODULE\b.*?={3,})", 1)
     rest = F.regexp_extract(text, r"(?s)(-{2,}\s*MODULE\b.*)", 1)
-    return F.when(whole != "", F.trim(whole)).when(rest != "", F.regexp_replace(rest, r"\s+$", ""))
+    return F.when(whole != "", whole).when(rest != "", F.regexp_replace(rest, r"\s+$", ""))
 
 
 def ascii_operators(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import modules
 from ..functions.messages import message
+from ..functions.text import strip
 from .sampling import choose
 
 
@@ -102,4 +103,4 @@ def theorem_chunks(df: DataFrame, id_: str, spec: str) -> DataFrame:
     rows = df.select(id_, F.regexp_extract(s, r"(?s)^(.*?)(?m:^(?:THEOREM|LEMMA)\b)", 1).alias("preamble"), F.posexplode(F.regexp_extract_all(s, pattern, 1)).alias("place", "block"))
     statement = F.regexp_extract("block", r"(?s)^(.*?)(?m:^\s*(?:<\d+>|OBVIOUS|BY\b|PROOF\b))", 1)
     whole = F.when(statement == "", F.col("block")).otherwise(statement)
-    return rows.select(id_, "place", "preamble", F.trim(whole).alias("statement"), F.trim(F.substring("block", F.length(whole) + 1, F.length("block"))).alias("proof"))
+    return rows.select(id_, "place", "preamble", strip(whole).alias("statement"), strip(F.substring("block", F.length(whole) + 1, F.length("block"))).alias("proof"))
