@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Unicode operators and their ASCII forms, padded so that neighbours stay apart.
 ASCII_OPERATORS = (
     ("∧", " /\\ "), ("∨", " \\/ "), ("¬", " ~"), ("⇒", " => "), ("⇔", " <=> "), ("∈", " \\in "), ("∉", " \\notin "), ("⊆", " \\subseteq "),
@@ -24,11 +25,6 @@ END_LINE = r"(?m)^[ \t]*END[ \t]*$"
 TERMINATOR = "=" * 78
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

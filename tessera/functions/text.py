@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "have", "has", "but", "not", "all", "any", "you", "use", "uses", "using", "MODULE", "EXTENDS", "VARIABLES", "VARIABLE", "CONSTANTS", "CONSTANT", "Init", "Next", "Spec", "TypeOK", "Invariant", "TLA")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used; inside another function's lambda an expression would be computed anew each time."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space, Unicode's included, at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -33,6 +40,12 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def phrases(words: Column, n: int) -> Column:
+    """Distinct runs of n words joined by spaces; none for fewer words."""
+    runs = let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))))
+    return F.array_distinct(runs)
+
+
 def search_terms(text: Column) -> Column:
     """Identifiers of two characters or more, stop words out before case is folded, repeats kept."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z][A-Za-z0-9_]+)"), 1)

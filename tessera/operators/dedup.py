@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, token_set
+from ..functions.text import content_id, let, token_set
 
 
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -88,9 +88,11 @@ def online_keep(nodes: DataFrame, links: DataFrame, checkpoint) -> DataFrame:
 
 def minhash_bands(sets: DataFrame, bands: int = 9, rows: int = 13, items: str = "set") -> DataFrame:
     """id, band, key: signatures of bands * rows minima of seeded hashes of the set's items."""
-    minima = F.transform(F.sequence(F.lit(1), F.lit(bands * rows)), lambda i: F.array_min(F.transform(F.col(items), lambda t: F.xxhash64(t, i))))
-    signed = sets.filter(F.size(items) > 0).select("id", minima.alias("sig"))
-    return signed.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, F.lit(rows))))).alias("band", "key"))
+    # Items are hashed once; a seed then mixes each hash anew.
+    once = F.transform(F.col(items), lambda t: F.xxhash64(t))
+    minima = let(once, lambda hs: F.transform(F.sequence(F.lit(1), F.lit(bands * rows)), lambda i: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, i)))))
+    keys = let(minima, lambda sig: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice(sig, b * rows + 1, F.lit(rows)))))
+    return sets.filter(F.size(items) > 0).select("id", F.posexplode(keys).alias("band", "key"))
 
 
 def band_candidates(bands: DataFrame) -> DataFrame:

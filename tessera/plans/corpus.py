@@ -221,13 +221,12 @@ def decontam_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _leaks(docs: DataFrame, items: DataFrame, id_: str = "doc_id") -> DataFrame:
     """(doc_id, item_id) where the document holds the item's whole text: an equi-join on a phrase, then the test."""
-    phrase = lambda ws, i: F.array_join(F.slice(ws, i, F.lit(6)), " ")
     ws = F.split(F.col("text"), r"\s+")
-    keyed = items.select("item_id", F.col("text").alias("item"), F.element_at(F.split("text", r"\s+"), 2).alias("w"), ws.alias("ws"))
+    keyed = items.select("item_id", F.col("text").alias("item"), ws.alias("ws"))
     # The second to seventh words stand whole in any document that holds the item; shorter items are matched by their second word or directly.
-    long_ = keyed.filter(F.size("ws") >= 9).select("item_id", "item", phrase(F.col("ws"), F.lit(2)).alias("key"))
+    long_ = keyed.filter(F.size("ws") >= 9).select("item_id", "item", F.array_join(F.slice("ws", 2, 6), " ").alias("key"))
     rest = keyed.filter(F.size("ws") < 9).select("item_id", "item")
-    shingles = docs.select(id_, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 5, F.lit(1))), lambda i: phrase(ws, i)))).alias("key"))
+    shingles = docs.select(id_, F.explode(text.phrases(ws, 6)).alias("key"))
     candidates = shingles.join(long_.select("key", "item_id"), "key").select(id_, "item_id").distinct()
     found = docs.select(id_, "text").join(candidates, id_).join(items.select("item_id", F.col("text").alias("item")), "item_id").filter(F.contains("text", "item")).select(id_, "item_id")
     short = docs.select(id_, "text").join(rest, F.contains("text", "item")).select(id_, "item_id")
@@ -243,10 +242,7 @@ def decontam_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number of eight-word phrases it shares with the benchmark; clean if none."""
 
     def phrases(df: DataFrame, *keep: str) -> DataFrame:
-        w = text.tokens(F.col("text"))
-        # sequence(1, 0) would count down, so short texts give an empty list.
-        grams = F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
-        return df.select(*keep, F.explode(F.array_distinct(grams)).alias("p"))
+        return df.select(*keep, F.explode(text.phrases(text.tokens(F.col("text")), 8)).alias("p"))
 
     docs = table(spark, sf_dir, "documents")
     shared = phrases(docs, "doc_id").join(phrases(table(spark, sf_dir, "benchmark")).distinct(), "p", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
