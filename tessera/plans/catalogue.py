@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, chat, corpus, files, pages, specs, streams
+from . import analytics, chat, corpus, files, pages, records, specs, streams
 from .registry import Query
 
-_MODULES = (corpus, chat, pages, specs, analytics, files, streams)
+_MODULES = (corpus, chat, pages, specs, records, analytics, files, streams)
 
 
 def queries() -> dict[str, Query]:
