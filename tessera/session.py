@@ -21,9 +21,16 @@ def session(name: str = "tessera", master: str | None = None, **conf: object) ->
     return builder.getOrCreate()
 
 
+#: Arrow batches that go to Python: so many rows or bytes at most, as texts may be long. Settings of the application's own stay.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's modules to the executors' Python workers, once a session."""
+    """Send this package's modules to the executors' Python workers, once a session, and bound the batches that they get."""
     sc, archive = spark.sparkContext, f"{__package__}.zip"
+    for k, v in ARROW.items():
+        if not sc.getConf().contains(k):
+            spark.conf.set(k, v)
     if archive not in sc._python_includes:
         root = Path(__file__).parent
         path = os.path.join(tempfile.mkdtemp(), archive)
