@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -115,14 +115,15 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value") > 8).alias("good"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-# Windows over one row a day run in one task whatever the events' number: a table of days is small.
-DAY = Window.partitionBy(F.lit(1)).orderBy("day")
+def by_day() -> WindowSpec:
+    """Windows over one row a day run in one task, whatever the number of events: a table of days is small."""
+    return Window.partitionBy(F.lit(1)).orderBy("day")
 
 
 @registry.add(f"WITH {DAYS} SELECT day, n, errors, good, round(good / n, 3) AS good_rate, round(errors / n, 3) AS error_rate, mean, round(max(good / n) OVER (ORDER BY day), 3) AS best_so_far FROM days")
 def timeline_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)
-    best = F.max(F.col("good") / F.col("n")).over(DAY.rowsBetween(Window.unboundedPreceding, 0))
+    best = F.max(F.col("good") / F.col("n")).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     return d.select("day", "n", "errors", "good", F.round(F.col("good") / F.col("n"), 3).alias("good_rate"), F.round(F.col("errors") / F.col("n"), 3).alias("error_rate"), "mean", F.round(best, 3).alias("best_so_far"))
 
 
@@ -132,7 +133,7 @@ SELECT day, round(g5 / n5, 6) AS rolling_rate, round(ratios, 6) AS mean_of_ratio
 """)
 def rolling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratio of sums and mean of ratios (no value for a division by zero counts 0) over the last five rows, and the difficulty cap they allow."""
-    w = DAY.rowsBetween(-4, 0)
+    w = by_day().rowsBetween(-4, 0)
     rate = F.sum("good").over(w) / F.sum("n").over(w)
     ratios = F.avg(F.coalesce(F.col("good") / F.nullif(F.col("errors"), F.lit(0)), F.lit(0.0))).over(w)
     return days(spark, sf_dir).select("day", F.round(rate, 6).alias("rolling_rate"), F.round(ratios, 6).alias("mean_of_ratios"), scores.difficulty_cap(rate, F.lit(1.0)).alias("cap"))
@@ -316,7 +317,7 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notable-event rules and promotion gates, one column each."""
     d = days(spark, sf_dir)
-    return d.select("day", (F.col("errors") > 100).alias("many_errors"), (F.col("good") == 0).alias("no_good"), F.coalesce(F.col("n") < 0.8 * F.lag("n").over(DAY), F.lit(False)).alias("dropped"), F.coalesce(F.col("mean") - F.lag("mean").over(DAY) >= 0, F.lit(True)).alias("promote"))
+    return d.select("day", (F.col("errors") > 100).alias("many_errors"), (F.col("good") == 0).alias("no_good"), F.coalesce(F.col("n") < 0.8 * F.lag("n").over(by_day()), F.lit(False)).alias("dropped"), F.coalesce(F.col("mean") - F.lag("mean").over(by_day()) >= 0, F.lit(True)).alias("promote"))
 
 
 @registry.add("SELECT * EXCLUDE (rn) FROM (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 20")
