@@ -40,11 +40,23 @@ def records(spark: SparkSession, path) -> DataFrame:
 
 
 def csv_strings(spark: SparkSession, path, columns: list[str], recursive: bool = False) -> DataFrame:
-    """CSV with a header, all strings; quoted fields may hold line ends and doubled quotes. Columns that a file lacks are null. file and cycle come from the file's name."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", False).option("recursiveFileLookup", recursive).schema(schema).csv(path)
-    name = F.col("_metadata.file_name")
-    return df.select("*", name.alias("file"), F.regexp_extract(name, r"_c(\d+)_", 1).try_cast("int").alias("cycle"), F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{8}_\d{6})", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss")).alias("written"), F.col("_metadata.file_modification_time").alias("modified"))
+    """CSV with a header, all strings; quoted fields may hold line ends and doubled quotes. file and cycle come from the file's name.
+
+    Files may differ in their columns: those of one header are read together, the sets are united by name, and columns that a
+    file lacks are null. What is gathered on the driver is one header and path for each file.
+    """
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "recursiveFileLookup": recursive}
+    first = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")
+    heads = spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), first.alias("head"))
+    out = spark.createDataFrame([], ", ".join([f"`{c}` string" for c in columns] + ["`file` string", "`modified` timestamp"]))
+    for head, paths in heads.groupBy("head").agg(F.array_sort(F.collect_list("path"))).orderBy("head").collect():
+        names = [c.strip().strip('"') for c in head.split(",")]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        rows = spark.read.options(**options).schema(schema).csv(paths)
+        rows = rows.select(*[c for c in columns if c in names], F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+        out = out.unionByName(rows, allowMissingColumns=True)
+    written = F.try_to_timestamp(F.nullif(F.regexp_extract("file", r"(\d{8}_\d{6})", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
+    return out.withColumn("cycle", F.regexp_extract("file", r"_c(\d+)_", 1).try_cast("int")).withColumn("written", written)
 
 
 def typed(df: DataFrame, ints: list[str]) -> DataFrame:
