@@ -31,7 +31,7 @@ END = "</w>"
 SIMPLE = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*+")
 
 #: Pieces a worker remembers; beyond that it forgets them all.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -177,7 +177,7 @@ class PieceCache:
     simple is split.
     """
 
-    BITS = 20
+    BITS = 21
 
     def __init__(self):
         self.reset()
@@ -188,8 +188,8 @@ class PieceCache:
         self.known = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
-        self.offset, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.offset, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def split(self, text: str) -> list[bytes]:
         raise NotImplementedError
@@ -240,10 +240,8 @@ class PieceCache:
             self.text = np.r_[self.text[: self.text_used], np.zeros(self.text_used + 2 * len(joined), np.uint8)]
         self.pool[self.used : self.used + len(ids)] = ids
         self.text[self.text_used : self.text_used + len(joined)] = joined
-        self.offset = np.r_[self.offset, self.used + np.cumsum(lengths) - lengths]
-        self.length = np.r_[self.length, lengths]
-        self.at = np.r_[self.at, self.text_used + np.cumsum(size) - size]
-        self.size = np.r_[self.size, size]
+        grown = (self.used + np.cumsum(lengths) - lengths, lengths, self.text_used + np.cumsum(size) - size, size)
+        self.offset, self.length, self.at, self.size = (np.r_[old, new.astype(np.int32)] for old, new in zip((self.offset, self.length, self.at, self.size), grown, strict=True))
         self.used += len(ids)
         self.text_used += len(joined)
         self.insert(h, np.arange(self.known, self.known + len(pieces), dtype=np.int32))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PieceCache, cache_for, encoded, texts_of
-from .common import scratch_path, slices
+from .bpe import END, SIMPLE, PieceCache, cache_for, encoded, texts_of
+from .common import scratch_path, slices, sorted_distinct
 
 END_ID = 1
 #: Ids that the rolling hash sees, the bits that must be 0 at a cut (a chunk of 512 ids in the mean), and the longest chunk.
@@ -47,35 +48,58 @@ class LibraryCache(PieceCache):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        ends = [i for token, i in self.library.get_vocab().items() if token.endswith(END)]
+        self.ends_word = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends_word[ends] = True
         super().__init__()
 
     def split(self, text: str) -> list[bytes]:
         return text.encode().split()
 
     def encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for own in ids for x in own), np.uint32, int(lengths.sum())), lengths
-
-
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one document's ids, by content alone."""
-    h = ids.astype(np.uint64)
-    h *= np.uint64(0x9E3779B97F4A7C15)
+        """Words of letters go to the library as texts of many words, told apart by the mark at the end of their last token; other pieces one by one."""
+        texts = [p.decode() for p in pieces]
+        plain = [t.isalpha() and SIMPLE.fullmatch(t) is not None for t in texts]
+        words, others = ([t for t, one in zip(texts, plain, strict=True) if one is kind] for kind in (True, False))
+        joined = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        flat = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        of_words = np.diff(np.r_[-1, np.flatnonzero(self.ends_word[flat])])
+        ids = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
+        lengths = np.zeros(len(texts), np.int64)
+        is_word = np.array(plain, bool)
+        lengths[is_word], lengths[~is_word] = of_words, [len(x) for x in ids]
+        out = np.zeros(lengths.sum(), np.uint32)
+        from_word = np.repeat(is_word, lengths)
+        out[from_word], out[~from_word] = flat, [x for own in ids for x in own]
+        return out, lengths
+
+
+@lru_cache(1)
+def _mix() -> np.ndarray:
+    """A 64-bit hash of each id below 2**16; higher ids take those of their low bits."""
+    h = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def cut_points(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of documents that lie one after another, by content alone: the hash of the last WINDOW ids of the same document decides."""
+    h = _mix()[ids & 0xFFFF]
     rolled = h.copy()
     for k in range(1, WINDOW):
         rolled[k:] += h[:-k] << np.uint64(k)
+    stops = np.cumsum(counts)
     cuts = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + 1
-    ends = np.unique(np.r_[cuts[cuts < len(ids)], len(ids)])
-    out: list[int] = []
-    last = 0
-    for end in ends.tolist():
-        out += range(last + LONGEST, end, LONGEST)
-        out.append(end)
-        last = end
-    return np.array(out)
+    inside = cuts - (stops - counts)[np.minimum(np.searchsorted(stops, cuts - 1, "right"), len(stops) - 1)] if len(stops) else cuts
+    ends = sorted_distinct(np.r_[cuts[inside >= WINDOW], stops[counts > 0]])
+    size = np.diff(np.r_[0, ends])
+    if len(size) and size.max() > LONGEST:
+        more = -(-size // LONGEST)
+        step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        ends = np.minimum(np.repeat(ends - size, more) + (step + 1) * LONGEST, np.repeat(ends, more))
+    return ends
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -96,24 +120,24 @@ def _cut(docs: DataFrame, path: str, width: str, id_col: str, text_col: str) ->
         seen: set[bytes] = set()
         for batch in batches:
             for a, b, ids, counts in encoded(cache, texts_of(batch.column(1))):
-                n, offsets, digest, length, payload = [], [0], [], [], []
-                for own in np.split(ids, np.cumsum(counts)[:-1]):
-                    own = np.r_[own, np.uint32(END_ID)].astype(width)
-                    start = 0
-                    for end in cut_points(own).tolist():
-                        piece = own[start:end].tobytes()
-                        d = hashlib.sha256(piece).digest()
-                        digest.append(d)
-                        length.append(end - start)
-                        payload.append(None if d in seen else piece)
-                        seen.add(d)
-                        start = end
-                    n.append(len(own))
-                    offsets.append(len(digest))
+                counts = counts + 1
+                stops = np.cumsum(counts)
+                flat = np.insert(ids, np.cumsum(counts - 1), END_ID).astype(width)
+                ends = cut_points(flat, counts)
+                begins = np.r_[0, ends[:-1]] if len(ends) else ends
+                offsets = np.searchsorted(ends, stops, "right")
+                raw, wide = flat.tobytes(), flat.itemsize
+                digest, payload = [], []
+                for start, end in zip((begins * wide).tolist(), (ends * wide).tolist(), strict=True):
+                    piece = raw[start:end]
+                    d = hashlib.sha256(piece).digest()
+                    digest.append(d)
+                    payload.append(None if d in seen else piece)
+                    seen.add(d)
                 if len(seen) > SEEN:
                     seen.clear()
-                chunks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array(length, pa.int32()), pa.array(payload, pa.binary())], fields=list(_LOG_ARROW.field("chunks").type.value_type)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), chunks], schema=_LOG_ARROW)
+                chunks = pa.ListArray.from_arrays(pa.array(np.r_[0, offsets], pa.int32()), pa.StructArray.from_arrays([pa.array(digest, pa.binary()), pa.array((ends - begins).astype(np.int32)), pa.array(payload, pa.binary())], fields=list(_LOG_ARROW.field("chunks").type.value_type)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), chunks], schema=_LOG_ARROW)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, _LOG)
 

@@ -199,9 +199,13 @@ def test_store_of_nothing(spark, none, tmp_path):
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 49000, 9000).astype(np.uint32), rng.integers(0, 49000, 500).astype(np.uint32)
-    chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *token_store.cut_points(x)[:-1]], token_store.cut_points(x), strict=True)}
+    cuts = lambda x: token_store.cut_points(x, np.array([len(x)]))
+    chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *cuts(x)[:-1]], cuts(x), strict=True)}
     assert len(chunks(a) & chunks(np.r_[b, a])) >= len(chunks(a)) - 2
-    assert max(np.diff(token_store.cut_points(np.zeros(50_000, np.uint32)))) <= token_store.LONGEST
+    assert max(np.diff(cuts(np.zeros(50_000, np.uint32)))) <= token_store.LONGEST
+    # Documents that lie together are cut as each alone.
+    both = token_store.cut_points(np.r_[a, b, a], np.array([9000, 500, 9000]))
+    assert both.tolist() == [*cuts(a), *(9000 + cuts(b)), *(9500 + cuts(a))]
 
 
 def test_crc_of_parts():
