@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 A document's label says that it is toxic, not where. Each sentence gets a probability from the
-hashed words it has (logistic), a document's score is the noisy-or of its sentences, and the
-weights are trained on document labels alone; the sentence probabilities then locate the offending
-sentences. Training runs on a bounded sample of the labelled rows (SAMPLE_WORDS); every text is
-scored whole. The broadcast weights have a fixed size.
+hashed words it has (logistic), a document's score is that of its worst sentence, and the weights
+are trained on document labels alone by the same rule; the sentence probabilities then locate the
+offending sentences. More sentences that are no worse leave a score as it is: a noisy-or of all would
+add up their small odds and call long clean texts toxic. Training runs on a bounded sample of the
+labelled rows (SAMPLE_WORDS); every text is scored whole. The broadcast weights have a fixed size.
 
 A null or empty text has no sentence and scores 0. Documents with several labels that differ are
 left out of the training. Rows are independent, so repeated rows and ties agree. With no toxic or
@@ -91,6 +92,12 @@ def document_scores(z: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     return -np.expm1(-_sums(np.logaddexp(0, z), per_text))
 
 
+def worst(z: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """The highest log-odds of each text that has sentences."""
+    some = per_text[per_text > 0]
+    return np.maximum.reduceat(z, np.cumsum(some) - some) if len(some) else np.zeros(0)
+
+
 def train(word: np.ndarray, per_sentence: np.ndarray, per_text: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the buckets and the sentence bias that make the documents' labels likeliest, by full-batch Adam steps."""
     weights, share = np.zeros(BUCKETS), float(label.mean()) if len(label) else 0.0
@@ -114,21 +121,23 @@ def train(word: np.ndarray, per_sentence: np.ndarray, per_text: np.ndarray, labe
     index[use] = np.arange(len(use))
     keep = index[word] >= 0
     sentence, word = sentence[keep], index[word[keep]]
-    bias = np.log(share / max(1.0, len(per_sentence) / len(per_text)))
+    bias = np.log(share / (1 - share))
     x = np.r_[w, bias]
     m, v = np.zeros_like(x), np.zeros_like(x)
     n = len(label)
-    # Sentences without a feature all have the bias as their log-odds: a number a document is enough.
+    # Sentences without a feature all have the bias as their log-odds: one a document is enough, after the others.
     has, sentence = np.unique(sentence, return_inverse=True)
-    blank = per_text - np.bincount(doc[has], minlength=n)
-    doc = doc[has]
+    own = np.bincount(doc[has], minlength=n)
+    blank = own < per_text
+    place = np.arange(len(has)) + (np.cumsum(blank) - blank)[doc[has]]
+    doc = np.repeat(np.arange(n), own + blank)
     for step in range(1, STEPS + 1):
-        z = np.bincount(sentence, weights=x[word], minlength=len(has)) + x[-1]
-        total = np.bincount(doc, weights=np.logaddexp(0, z), minlength=n) + blank * np.logaddexp(0, x[-1])
-        p = np.clip(-np.expm1(-total), 1e-9, 1 - 1e-9)
-        push = np.where(label > 0, -(1 - p) / p, 1.0) / n
-        dz = push[doc] / (1 + np.exp(-z))
-        g = np.r_[np.bincount(word, weights=dz[sentence], minlength=len(use)), dz.sum() + (push * blank).sum() / (1 + np.exp(-x[-1]))]
+        z = np.full(len(doc), x[-1])
+        z[place] += np.bincount(sentence, weights=x[word], minlength=len(has))
+        top = np.lexsort((z, doc))[np.cumsum(own + blank) - 1]
+        dz = np.zeros(len(doc))
+        dz[top] = (1 / (1 + np.exp(-z[top])) - label) / n
+        g = np.r_[np.bincount(word, weights=dz[place][sentence], minlength=len(use)), dz.sum()]
         g[:-1] += DECAY * x[:-1] / max(1, len(use)) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -215,7 +224,8 @@ def scored(texts: list[str], weights: np.ndarray, bias: float, learned: bool, bu
     word, per_sentence, per_text = features(texts, buckets)
     if not learned:
         return np.where(per_text > 0, bias, 0.0), per_text.astype(np.int64)
-    return np.clip(document_scores(sentence_odds(word, per_sentence, weights, bias), per_text), 0, 1), per_text.astype(np.int64)
+    z = worst(sentence_odds(word, per_sentence, weights, bias), per_text)
+    return np.clip(document_scores(z, np.minimum(per_text, 1)), 0, 1), per_text.astype(np.int64)
 
 
 def locate(docs: DataFrame, model: tuple[np.ndarray, float, bool], least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

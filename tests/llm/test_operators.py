@@ -283,6 +283,23 @@ def test_toxicity_without_labels(spark, docs, none):
     assert {r.predicted for r in toxicity.predict(docs, clean).collect()} == {0}
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    # Sentences of clean documents that weren't learned from, in each language: no length makes them toxic, and one bad sentence still does.
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias, learned = toxicity.fit(docs.filter(~toxicity.held_out()), labels)
+    held = docs.filter(toxicity.held_out()).join(labels, "doc_id").select("lang", "text", "toxic").collect()
+    score = lambda texts: toxicity.scored(texts, weights, bias, learned, toxicity._Buckets())[0]
+    p = score([r.text for r in held])
+    bad = [r.text for r, x in zip(held, p, strict=True) if r.toxic and x >= 0.5]
+    assert np.mean((p >= 0.5) == np.array([r.toxic for r in held])) > 0.97 and len({r.lang for r in held}) == 4
+    for lang in sorted({r.lang for r in held}):
+        clean = [r.text.encode()[a:b].decode() for r in held if r.lang == lang and not r.toxic for a, b, own in toxicity.sentences(r.text) if own]
+        texts = [". ".join(clean[i % len(clean)] for i in range(n)) for n in (1000, 5000, 20000)]
+        assert (score(texts) < 0.5).all()
+        assert (score([f"{t}. {bad[0]}" for t in texts]) >= 0.5).all()
+    assert (score(["", "zzz. zzz", "zzz. " * 20000]) == [0, *[score(["zzz"])[0]] * 2]).all()
+
+
 def test_noisy_or():
     z = np.array([0.3, -1.0, 2.0])
     p = 1 / (1 + np.exp(-z))
