@@ -21,7 +21,7 @@ def exact_first(docs: DataFrame, text: str = "text", position: str = "doc_id") -
 
 
 def seed_anchored(seed: DataFrame, rows: DataFrame, text: str = "text", position: str = "doc_id") -> DataFrame:
-    """Rows of new content: none that the seed has, and the first of those that are alike. The seed isn't returned."""
+    """Rows of new content, exact copies only (near copies: seed_anchored_near): none that the seed has, and the first of those that are alike. The seed isn't returned."""
     known = seed.select(content_id(F.col(text)).alias("__known")).distinct()
     fresh = rows.withColumn("__known", content_id(F.col(text))).join(known, "__known", "left_anti").drop("__known")
     return exact_first(fresh, text, position)
@@ -86,6 +86,25 @@ def online_keep(nodes: DataFrame, links: DataFrame, checkpoint) -> DataFrame:
             return state
 
 
+def seed_anchored_near(seed: DataFrame, rows: DataFrame, checkpoint, threshold: float = 0.8, text: str = "text", position: str = "doc_id") -> DataFrame:
+    """Positions of the rows that an in-order filter keeps, which starts with all of the seed: not alike, by content or by token set, to a seed row or a kept row before.
+
+    Positions are distinct over seed and rows. The seed isn't returned. Rows without a token are one class, and rows without a text another.
+    """
+    tagged = seed.select(F.col(position).cast("long").alias("id"), F.col(text).alias("text"), F.lit(True).alias("seed")).union(rows.select(F.col(position).cast("long"), F.col(text), F.lit(False)))
+    # Copies by content have one token set. Rows of one set follow their first; a set that the seed has is the seed's, whatever the order of ids.
+    digest = F.sha2(F.array_join(F.array_sort(token_set(F.col("text"))), "\x00"), 256)
+    classes = checkpoint(tagged.groupBy(digest.alias("digest")).agg(F.min("id").alias("id"), F.bool_or("seed").alias("seed")).select("id", "seed"))
+    links = checkpoint(token_links(tagged, threshold, "text", "id").select("a", "b"))
+    anchors = classes.filter("seed").select("id")
+    near = links.join(anchors.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).union(links.join(anchors.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"))).distinct()
+    free = checkpoint(classes.filter("not seed").select("id").join(near, "id", "left_anti"))
+    among = checkpoint(links.join(free.withColumnRenamed("id", "a"), "a", "left_semi").join(free.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    linked = free.join(among.select(F.col("a").alias("id")).union(among.select("b")).distinct(), "id", "left_semi")
+    kept = online_keep(linked, among, checkpoint).filter("kept").select("id").union(free.join(linked, "id", "left_anti"))
+    return kept.select(F.col("id").alias(position))
+
+
 def minhash_bands(sets: DataFrame, bands: int = 9, rows: int = 13, items: str = "set") -> DataFrame:
     """id, band, key: signatures of bands * rows minima of seeded hashes of the set's items."""
     # Items are hashed once; a seed then mixes each hash anew.

@@ -44,6 +44,16 @@ def seed_anchored_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "source", "from_seed")
 
 
+@registry.add()
+def seed_anchored_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seed_anchored_dedup with near copies: the seed's contents, and the rows that an in-order filter keeps after it."""
+    docs = table(spark, sf_dir, "documents")
+    seed, rest = docs.filter("source = 'src0'"), docs.filter("source <> 'src0'")
+    kept = rest.join(dedup.seed_anchored_near(seed, rest, _checkpoint), "doc_id", "left_semi")
+    anchor = dedup.exact_first(seed)
+    return anchor.select("doc_id", "source", F.lit(True).alias("from_seed")).union(kept.select("doc_id", "source", F.lit(False)))
+
+
 @registry.add(f"""
 WITH {EXACT}, sets AS (SELECT doc_id, list_sort(list_distinct({TOKENS})) AS s FROM kept),
 classes AS (SELECT min(doc_id) AS id, s FROM sets WHERE len(s) > 0 GROUP BY s), tok AS (SELECT id, len(s) AS n, unnest(s) AS t FROM classes),

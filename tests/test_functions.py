@@ -1,12 +1,14 @@
 """Functions on small hand-made rows, one for each trap that their meaning has."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import logs, messages, modules, rewrite, scores, text
 from tessera.operators import dedup, generators, ranking, sampling, verify
+from tessera.plans import corpus
 
 
 def one(spark, column, **values):
@@ -142,6 +144,41 @@ def test_seed_rows_are_never_returned(spark):
     assert [r.doc_id for r in dedup.seed_anchored(seed, rows).collect()] == [3]
 
 
+def in_order(seed, rows):
+    """Ids that a filter keeps which reads rows in order after all of the seed, by content and by token sets with Jaccard 0.8."""
+    contents, sets, kept = {t.strip() for _, t in seed}, [set(t.lower().split()) for _, t in seed], []
+    for i, t in sorted(rows):
+        own = set(t.lower().split())
+        if t.strip() not in contents and not any(own and len(own & s) / len(own | s) >= 0.8 for s in sets):
+            contents.add(t.strip())
+            sets.append(own)
+            kept.append(i)
+    return kept
+
+
+def test_near_copies_of_the_seed_go(spark):
+    rnd = random.Random(4)
+    base = [[f"{k}w{i}" for i in range(20)] for k in range(4)]
+    texts = [" ".join(w for w in rnd.choice(base) if rnd.random() < 0.9) for _ in range(150)] + ["", " ", "A b", "b a", "lone"]
+    ids = rnd.sample(range(1000), len(texts))
+    tagged = [(i, t, rnd.random() < 0.1) for i, t in zip(ids, texts, strict=True)]
+    seed, rows = ([(i, t) for i, t, s in tagged if s == want] for want in (True, False))
+    got = dedup.seed_anchored_near(*(frame(spark, x, "doc_id long, text string") for x in (seed, rows)), lambda d: d.checkpoint())
+    want = in_order(seed, rows)
+    assert sorted(r.doc_id for r in got.collect()) == want and 0 < len(want) < len(rows)
+
+
+def test_near_copies_of_the_seed_go_from_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    seed, rows = ([(i, t) for i, t, s in docs if (s == "src0") == want] for want in (True, False))
+    got = corpus.seed_anchored_near_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in got if not r.from_seed) == in_order(seed, rows)
+    first = {}
+    for i, t in sorted(seed):
+        first.setdefault(t.strip(), i)
+    assert sorted(r.doc_id for r in got if r.from_seed) == sorted(first.values())
+
+
 def test_upsert_only_by_higher_rank(spark):
     old, new = frame(spark, [("a", 2), ("b", 1)], "k string, r int"), frame(spark, [("a", 2), ("b", 3), ("c", 1)], "k string, r int")
     assert sorted(map(tuple, dedup.upsert(old, new, "k", "r").collect())) == [("a", 2), ("b", 3), ("c", 1)]
