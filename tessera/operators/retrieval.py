@@ -1,13 +1,17 @@
-"""BM25 and set-similarity neighbours through token joins; no pair without a shared token is made."""
+"""BM25 and set-similarity neighbours through token joins, or through blocks of queries where sets share frequent tokens; no pair without a shared token is returned."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import head_lines, search_terms
 
 K1, B = 1.5, 0.75
+#: Queries of a block and rows of a shard, about; (row, query) counts held at a time.
+BLOCK_ROWS, SHARD_ROWS, CELLS = 16_384, 16_384, 1 << 19
 
 
 def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
@@ -51,3 +55,63 @@ def jaccard_neighbours(sets: DataFrame, k: int = 5) -> DataFrame:
     scored = shared.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 3).alias("score"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), F.desc("b")))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def nearest(queries: list[tuple[int, str]], rows: list[tuple[int, str]], k: int, sep: str) -> list[tuple[int, int, float]]:
+    """(query, row, score) of the k best rows of each query, exactly; ties to the higher id. Sets are joined by sep, and split a row at a time. Rows come in order of id."""
+    place: dict[str, int] = {}
+    at = np.array([place.setdefault(w, len(place)) for _, words in queries for w in words.split(sep)], np.int64)
+    query_size, row_size = (np.array([words.count(sep) + 1 for _, words in x], np.int64) for x in (queries, rows))
+    query_id, row_id = (np.array([i for i, _ in x], np.int64) for x in (queries, rows))
+    owner = np.repeat(np.arange(len(queries)), query_size)[np.argsort(at, kind="stable")]
+    postings = np.split(owner, np.cumsum(np.bincount(at, minlength=len(place)))[:-1]) if place else []
+    # The best so far of each query, k columns in ascending order of score and place.
+    best, best_at = np.full((len(queries), k), -1.0), np.full((len(queries), k), -1, np.int64)
+    step = max(1, CELLS // max(1, len(queries)))
+    for start in range(0, len(rows), step):
+        part = rows[start : start + step]
+        both = np.zeros((len(part), len(queries)), np.int64)
+        for i, (_, words) in enumerate(part):
+            if own := [postings[j] for w in words.split(sep) if (j := place.get(w)) is not None]:
+                both[i] = np.bincount(np.concatenate(own), minlength=len(queries))
+        i, q = np.nonzero(both)
+        both, i = both[i, q], i + start
+        score = both / (query_size[q] + row_size[i] - both)
+        # Later rows win ties.
+        better = (score >= best[q, 0]) & (query_id[q] != row_id[i])
+        if not better.any():
+            continue
+        hit = np.unique(q[better])
+        q, score, i = np.r_[q[better], np.repeat(hit, k)], np.r_[score[better], best[hit].ravel()], np.r_[i[better], best_at[hit].ravel()]
+        order = np.lexsort((i, score, q))
+        take = order[np.searchsorted(q[order], hit, side="right")[:, None] - np.arange(k, 0, -1)]
+        best[hit], best_at[hit] = score[take], i[take]
+    q, j = np.nonzero(best >= 0)
+    return list(zip(query_id[q].tolist(), row_id[best_at[q, j]].tolist(), best[q, j].tolist(), strict=True))
+
+
+def jaccard_search(sets: DataFrame, queries: DataFrame, k: int = 5, sep: str = " ") -> DataFrame:
+    """jaccard_neighbours for the queries (id, set) among all sets, exactly: a, b, score, rank. Ranks are by the score before it is rounded.
+
+    Rows are dealt to shards and queries to blocks by a hash; a task counts what one shard's rows share with one block's
+    queries, so frequent tokens make no rows of pairs, and returns the best k of each query. The work is queries times
+    rows. Ids are distinct; null ids are left out, and sets without a token have no neighbours. No token holds `sep`.
+    """
+
+    def flat(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("id").isNotNull() & (F.size("set") > 0)).select(F.col("id").cast("long").alias("id"), F.array_join("set", sep).alias("words"))
+
+    data, asked = flat(sets), flat(queries)
+    shards = max(4, -(-sets.count() // SHARD_ROWS))
+    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, own = (list(zip(t["id"].to_pylist(), t["words"].to_pylist(), strict=True)) for t in (left.sort_by("id"), right))
+        found = nearest(own, rows, k, sep)
+        return pa.table([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "score"])
+
+    left = data.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(probe, "a long, b long, score double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), F.desc("b")))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("a", "b", F.round("score", 3).alias("score"), "rank")

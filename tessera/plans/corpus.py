@@ -355,6 +355,18 @@ def jaccard_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.jaccard_neighbours(sets)
 
 
+@registry.add("""
+WITH s AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(text, '[;, ]+'), lambda w: length(w) > 1)) AS s FROM documents),
+t AS (SELECT id, len(s) AS n, unnest(s) AS w FROM s),
+p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM t a JOIN t b ON a.w = b.w AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2)
+SELECT * FROM (SELECT a, b, round(score, 3) AS score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) AS rank FROM p) WHERE rank <= 5
+""")
+def jaccard_knn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_knn over documents: those whose id is divisible by 20 as queries, against all. Ranked before rounding."""
+    sets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.row_terms(F.col("text")).alias("set"))
+    return retrieval.jaccard_search(sets, sets.filter(F.col("id") % 20 == 0))
+
+
 @registry.add(f"""
 SELECT source, count(*) AS total, count(*) FILTER (WHERE toxic IS NOT NULL) AS judged, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS clean
 FROM (SELECT 'src' || substr(split_part(source, 'src', 2), 1, 1) AS source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ROLLUP(source)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import logs, messages, modules, rewrite, scores, text
-from tessera.operators import dedup, generators, ranking, sampling, verify
+from tessera.operators import dedup, generators, ranking, retrieval, sampling, verify
 from tessera.plans import corpus
 
 
@@ -222,3 +222,15 @@ def test_checker_hook(spark):
     assert {r.id: r.valid for r in verify.checked(df, "spec", checker, "id").collect()} == {1: True, 2: False}
     probe = verify.mutation_probe(df, "spec", lambda t: F.replace(t, F.lit("good"), F.lit("worse")), checker, "id").collect()
     assert {r.id: (r.tested, r.caught) for r in probe} == {1: (True, True), 2: (False, False)}
+
+
+def test_nearest_sets_in_parts(spark, monkeypatch):
+    # Ties, copies, sets without a token, and blocks, shards and parts of a few rows give what the token join gives.
+    monkeypatch.setattr(retrieval, "CELLS", 20)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 4)
+    rnd = random.Random(6)
+    rows = [(i, sorted(set(rnd.choices("abcdefghij", k=rnd.randint(0, 6))))) for i in rnd.sample(range(400), 80)] + [(None, ["a"])]
+    sets = frame(spark, rows, "id long, set array<string>")
+    want = retrieval.jaccard_neighbours(sets).filter("a % 5 = 0").collect()
+    got = retrieval.jaccard_search(sets, sets.filter("id % 5 = 0")).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
