@@ -11,13 +11,15 @@ CONTAINMENT. Signatures are only computed for windows that share a shingle with
 other window can agree in a band.
 
 Templates are a fixed list of bounded size, so they are broadcast with the code. Null and empty
-texts match nothing. Rows are independent, so repeated rows agree; of overlapping matches with one
-template the fullest is kept, ties to the earliest. An empty table gives an empty result. Other
-columns of the input aren't read.
+texts match nothing. Rows are independent, so repeated rows agree; a match is a run of shingles, and of
+overlapping ones with one template those of about its length (WIDER) go first, then the fullest, the
+shortest and the earliest, so notices repeated back to back are a match each. An empty table gives an
+empty result. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,7 +99,7 @@ class Templates:
         hit = np.flatnonzero(self.every[at] == h)
         if not len(hit):
             return []
-        found: dict[int, list[tuple[float, int, int]]] = {}
+        starts: dict[int, set[int]] = {}
         for n, own in self.sizes.items():
             width = int(np.ceil(WIDER * n)) - SHINGLE + 1  # in shingles
             stride = max(1, n // 4)
@@ -115,15 +117,28 @@ class Templates:
                     inside = np.isin(h[lo:hi], self.shingles[i])
                     share = len(np.unique(h[lo:hi][inside])) / len(self.shingles[i])
                     if share >= CONTAINMENT:
-                        places = lo + np.flatnonzero(inside)
-                        found.setdefault(i, []).append((share, int(begin[places[0]]), int(end[places[-1] + SHINGLE - 1])))
+                        starts.setdefault(i, set()).update((lo + np.flatnonzero(inside)).tolist())
         out = []
-        for i, matches in found.items():
+        for i, own in starts.items():
+            places = np.flatnonzero(np.isin(h, self.shingles[i]))
+            width = int(np.ceil(WIDER * self.words[i])) - SHINGLE + 1
+            runs = set()
+            for x in own:
+                for wide, reach in enumerate((width, width + 2 * (self.words[i] // 2))):
+                    near = places[np.searchsorted(places, x) : np.searchsorted(places, x + reach)]
+                    # A run ends where its last new shingle comes.
+                    _, first = np.unique(h[near], return_index=True)
+                    if len(first) >= CONTAINMENT * len(self.shingles[i]):
+                        runs.add((wide, -len(first) / len(self.shingles[i]), int(near[first.max()]) - x, x))
+                        break
             taken: list[tuple[int, int]] = []
-            for share, a, b in sorted(set(matches), key=lambda m: (-m[0], m[1], m[2])):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    out.append((i, share, a, b))
+            for _, share, more, x in sorted(runs):
+                a, b = int(begin[x]), int(end[x + more + SHINGLE - 1])
+                # The last match that begins before b is the only one that can overlap.
+                k = bisect.bisect_left(taken, (b,))
+                if not k or taken[k - 1][1] <= a:
+                    taken.insert(k, (a, b))
+                    out.append((i, -share, a, b))
         return out
 
 

@@ -521,6 +521,23 @@ def test_licence_templates_are_found_in_text(spark):
         assert r.containment >= 0.8 and text[r.doc_id][r.start : r.end].strip() == text[r.doc_id][r.start : r.end]
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 100])
+def test_license_notices_back_to_back(times):
+    known = license_scan.Templates()
+    for i, (_, text) in enumerate(license_scan.TEMPLATES):
+        copies = " ".join([text] * times)
+        got = sorted((a, b) for j, share, a, b in known.scan(copies) if j == i and share == 1)
+        words = text.encode().rstrip(b" .:").__len__()
+        assert got == [(k * (len(text.encode()) + 1), k * (len(text.encode()) + 1) + words) for k in range(times)], text
+
+
+def test_stretched_license_notice_is_still_found():
+    # Twelve words within the notice: longer than WIDER allows, but whole.
+    text = license_scan.TEMPLATES[8][1].split()
+    stretched = " ".join([*text[:16], *["word"] * 12, *text[16:]])
+    assert [j for j, *_ in license_scan.Templates().scan(stretched)] == [8]
+
+
 def test_signature_collides_as_often_as_promised():
     rng = np.random.default_rng(9)
     hits = 0
