@@ -35,17 +35,21 @@ def unique_events(stream: DataFrame, keys: list[str], time: str = "ts", late: st
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def dedup_against(kept_path: str, text: str = "text", position: str = "doc_id"):
-    """foreachBatch: rows of content that neither the kept table nor the batch before them has are appended to it."""
+def dedup_against(kept_path: str, text: str = "text", position: str = "doc_id", threshold: float = 0.8):
+    """foreachBatch: rows that neither the kept table nor the batch's kept rows before them are like, by content or by token set, are appended to it. Positions are distinct over all batches."""
 
     def step(batch: DataFrame, _: int) -> None:
-        from ..operators.dedup import exact_first
+        from ..operators.dedup import exact_first, seed_anchored_near
+        from ..plans.corpus import _checkpoint
 
         spark = batch.sparkSession
         fresh = exact_first(batch, text, position).withColumn("content_id", content_id(F.col(text)))
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(kept_path)
+        kept = batch.limit(0)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            fresh = fresh.join(spark.read.parquet(kept_path).select("content_id"), "content_id", "left_anti")
+            kept = spark.read.parquet(kept_path)
+            fresh = fresh.join(kept.select("content_id"), "content_id", "left_anti")
+        fresh = fresh.join(seed_anchored_near(kept, fresh, _checkpoint, threshold, text, position), position, "left_semi")
         fresh.write.mode("append").parquet(kept_path)
 
     return step

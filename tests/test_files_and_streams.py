@@ -74,6 +74,17 @@ def test_dedup_against_what_was_kept(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(kept).collect()) == [1, 3, 5]
 
 
+def test_near_copies_of_later_batches_go(spark, tmp_path):
+    kept, source = str(tmp_path / "kept"), str(tmp_path / "in")
+    words = [f"w{i}" for i in range(20)]
+    a, b, c = " ".join(words), " ".join([*words[1:], "x"]), " ".join(f"v{i}" for i in range(20))
+    for rows in ([(1, a), (2, b), (3, "lone")], [(4, b), (5, c), (6, c + " y"), (7, a.upper())]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        stream = streams.file_stream(spark, source, "doc_id long, text string", 10)
+        stream.writeStream.foreachBatch(streams.dedup_against(kept)).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(kept).collect()) == [1, 3, 5]
+
+
 def test_folded_state(spark):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([9, 1, 1, 1, 1, 2, 8])], "user_id long, event_id long, value double")
     assert tuple(streams.folded_state(df, limit=5).first()) == (1, 9.0, 2, 1, 0, 1)
