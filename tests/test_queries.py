@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL at the smallest scale."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -13,7 +15,7 @@ QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 def cell(v):
     if v is None or v != v:
         return ""
-    return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return f"{float(v):.6g}" if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 def rows(columns, data):
