@@ -47,26 +47,35 @@ def exact_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 2, 50])
-def test_exact_groups(spark, docs, rows, partitions):
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+@pytest.mark.parametrize("size", [1 << 30, 20_000, 2_000])
+def test_exact_groups(docs, rows, size, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PARTITION_BYTES", size)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()}
     assert got == exact_brute(rows)
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, _, k, _) in got.items() if k)
 
 
-def test_exact_copies_over_many_partitions(spark):
+def test_exact_copies_over_many_partitions(spark, monkeypatch):
     # One text in most rows: its run goes on over partition ends, and is one group all the same.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(exact_dedup, "PARTITION_BYTES", 2_000)
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "same text").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.exact_groups(df).filter("group_size > 1").agg(F.count("*"), F.min("group_size"), F.max("keep_id"), F.count_if("kept")).first()
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tuple(got) == (1600, 1600, 0, 1)
+    in_order, found = exact_dedup._sorted(df)
+    assert sum(s[0] == b"sametext" for s in found) > 10
+    sizes = [r["count"] for r in in_order.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()) == sorted({i for i in range(2000) if i % 10 > 7} | {0})
+
+
+def test_splitters_are_short():
+    keys = [(b"a" * 50 + bytes([c]), -1, i) for i, c in enumerate(b"bdfh")] + [(b"zz" * 9, -18, 7), (b"zz" * 9, -18, None)]
+    found = exact_dedup.splitters(keys, 100)
+    assert found == sorted(found) and len(found) == 5
+    assert [f[0] for f in found[:4]] == [b"a" * 50 + b"d", b"a" * 50 + b"f", b"a" * 50 + b"h", b"z"]
+    assert found[4] == (b"zz" * 9, -18, 7)
+    assert exact_dedup.splitters([], 9) == []
 
 
 def test_exact_drop_keeps_columns_and_one_of_repeated_rows(docs, none, rows):
@@ -74,6 +83,8 @@ def test_exact_drop_keeps_columns_and_one_of_repeated_rows(docs, none, rows):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, _, k, _) in exact_brute(rows).items() if k)
     assert exact_dedup.drop_exact_copies(none).count() == 0 == exact_dedup.exact_groups(none).count()
+    nulls = docs.filter("doc_id < 8").withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    assert exact_dedup.drop_exact_copies(nulls).count() == 5 == exact_dedup.exact_groups(nulls).filter("kept").count()
 
 
 # Mixing
