@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters of [\x20\x09-\x0D]; bytes.split() splits on exactly these.
@@ -21,26 +22,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint: computed once, and kept when executors are lost.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests,
-    one machine) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where it is unset a temporary one is set on one machine; on a cluster that is an error, as others couldn't read it."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in the shared folder: computed once, and kept when executors are lost."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, for tables that are written and read again."""
-    import uuid
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with more rows than this (or than an even share of HOT_KEYS keys) is hot, so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 1 << 16
+
+
+def hot_keys(left: DataFrame, key: str) -> DataFrame | None:
+    """The hot keys of left, one row each and HOT_KEYS at most; None if there are none. Counted by partial aggregation."""
+    counts = checkpointed(left.groupBy(key).agg(F.count("*").alias("hot_n")))
+    total = counts.agg(F.sum("hot_n")).first()[0] or 0
+    hot = counts.filter(F.col("hot_n") > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+    return hot if hot.head(1) else None
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right (one row a key). Rows of hot keys stay where they are and meet the broadcast rows of right, as those are HOT_KEYS at most; the others are joined by key. left is read twice."""
+    hot = hot_keys(left, key)
+    if hot is None:
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right, key, how))
 
 
 def id_crc(id_col: str = "doc_id"):
@@ -98,10 +126,11 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return next(c for c in (f"{base}_{i}" for i in range(len(taken) + 1)) if c not in taken)
 
 
-def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs, with one row of those that have the same id and the same text."""
-    from pyspark.sql import Window
-
-    fresh = fresh_name(docs, "row")
-    w = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(text_col)).orderBy(F.lit(0))
-    return docs.withColumn(fresh, F.row_number().over(w)).filter(F.col(fresh) == 1).drop(fresh)
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs whose id is in the column `id` of ids (null is an id), and one of those that have the same id and the same text. Texts are shuffled once: the window's keys start with the join's."""
+    row, missing, known = (fresh_name(docs, x) for x in ("row", "missing", "known"))
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns({missing: own.isNull(), known: F.coalesce(own, F.lit(0))})
+    wanted = ids.select(F.col("id").isNull().alias(missing), F.coalesce("id", F.lit(0)).cast("long").alias(known))
+    w = Window.partitionBy(missing, known, F.xxhash64(F.col(text_col)), F.col(text_col)).orderBy(F.lit(0))
+    return keyed.join(wanted, [missing, known], "left_semi").withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, fresh_name, one_row_per_id
+from .common import checkpointed, join_hot, rows_with_ids
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -251,16 +251,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     parts = components(fingerprint_links(classes, part, layouts))
     # A component of fingerprints is named by its smallest document.
-    grouped = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    named = checkpointed(grouped)
+    named = checkpointed(classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = named.join(least, "component").select(F.col("fp").alias("print"), "component_id")
-    return prints.join(of_print, F.col("fp") == F.col("print")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = checkpointed(join_hot(named, least, "component").select("fp", "component_id"))
+    return join_hot(prints, of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, that of the smallest id, all columns as they were."""
-    keep = fresh_name(docs, "keep")
-    stay = near_groups(docs, id_col, text_col).groupBy("component_id").agg(F.min("doc_id").alias(keep)).select(keep)
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
-    return one_row_per_id(kept, id_col, text_col)
+    stay = near_groups(docs, id_col, text_col).groupBy("component_id").agg(F.min("doc_id").alias("id")).select("id")
+    return rows_with_ids(docs, stay, id_col, text_col)
