@@ -419,24 +419,33 @@ def substrings_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("batch", [200_000, 50])
-def test_repeated_phrases(docs, rows, batch, monkeypatch):
+@pytest.mark.parametrize(("batch", "hot"), [(200_000, 32), (50, 1), (300, 2)])
+def test_repeated_phrases(docs, rows, batch, hot, monkeypatch):
+    # Small batches split routes over parts, and few places make marks frequent.
     monkeypatch.setattr(substrings, "BATCH", batch)
+    monkeypatch.setattr(substrings, "HOT_PLACES", hot)
+    monkeypatch.setattr(substrings, "HOT_SAMPLE", 16 if hot > 2 else 1)
+    monkeypatch.setattr(substrings, "BUCKET_MARKS", 100 if hot == 2 else 1_000_000)
     want = substrings_brute(rows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect()}
     assert got == {d: w[:3] for d, w in want.items()}
     assert sum(w[1] for w in want.values()) > 500
 
 
-def test_located_in_small_batches():
-    # The same rows in batches of one stretch find what one batch finds.
-    rng = np.random.default_rng(2)
-    words = [f"w{i}" for i in rng.integers(0, 3, 300)]
-    rows = [(1, d, 0, words[a : a + 60]) for d, a in enumerate([0, 30, 0, 100, 120, 30])]
-    whole = sorted(substrings._locate(rows, {}))
-    known = {}
-    split = sorted(x for r in rows for x in substrings._locate([r], known))
-    assert whole == split and whole
+def test_repeated_phrases_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(None, f"{a} x"), (1, f"{a} y"), (1, f"{a} y"), (1, f"{b} z"), (2, f"q {b}"), (3, None), (None, None), (4, "")]
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 0, 0), (-1, 41, 0), (1, 41, 0), (1, 41, 40), (1, 41, 40), (2, 41, 40), (3, 0, 0), (4, 0, 0)]
+    kept = sorted((r.doc_id or -1, r.text) for r in substrings.kept_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [(-1, ""), (-1, f"{a} x"), (1, f"{b} z"), (1, "y"), (1, "y"), (2, "q"), (3, ""), (4, "")]
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(-(1 << 62), 1 << 62, 99), np.arange(99), np.full(99, 5), rng.integers(-5, 300, 99)]
+    assert all((a == b).all() for a, b in zip(substrings.unpack(substrings.pack(*columns), 4), columns, strict=True))
+    assert [len(x) for x in substrings.unpack(substrings.pack(np.zeros(0, np.int64), np.zeros(0, np.int64)), 2)] == [0, 0]
 
 
 def test_kept_texts(docs, none, rows):
