@@ -275,19 +275,22 @@ def _locate(rows: list[tuple[int, int, int, list[str]]]) -> Iterator[tuple[int,
     number: dict[str, int] = {}
     codes = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for *_, words in rows]
     hashes = [_rolled(c) for c in codes]
-    flat = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    twice = np.unique(flat[1:][flat[1:] == flat[:-1]])
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    # Only windows whose hash recurs can recur; whether they do is decided by their words.
+    order = np.argsort(flat, kind="stable")
+    same = flat[order[1:]] == flat[order[:-1]]
+    maybe = np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(flat) else order
+    stops = np.cumsum([len(h) for h in hashes])
+    row = np.searchsorted(stops, maybe, "right")
     letters: dict[int, str] = {}
     first: dict[str, tuple[int, int]] = {}
     again: set[str] = set()
-    for r, h in enumerate(hashes):
-        # Only windows whose hash recurs can recur; whether they do is decided by their words.
-        if len(maybe := np.flatnonzero(np.isin(h, twice, kind="sort")) if len(twice) else ()):
+    for r, i in zip(row.tolist(), (maybe - (stops - [len(h) for h in hashes])[row]).tolist() if len(maybe) else (), strict=True):
+        if (s := letters.get(r)) is None:
             s = letters[r] = _letters(codes[r])
-            for i in maybe.tolist():
-                w = s[i : i + WINDOW]
-                if first.setdefault(w, (r, i)) != (r, i):
-                    again.add(w)
+        w = s[i : i + WINDOW]
+        if first.setdefault(w, (r, i)) != (r, i):
+            again.add(w)
     if again:
         automaton = ahocorasick.Automaton()
         for w in again:
