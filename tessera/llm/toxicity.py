@@ -1,11 +1,12 @@
 """Toxicity by multiple-instance learning.
 
 A document's label says that it is toxic, not where. Each sentence gets a probability from the
-hashed words it has (logistic), a document's score is that of its worst sentence, and the weights
-are trained on document labels alone by the same rule; the sentence probabilities then locate the
-offending sentences. More sentences that are no worse leave a score as it is: a noisy-or of all would
-add up their small odds and call long clean texts toxic. Training runs on a bounded sample of the
-labelled rows (SAMPLE_WORDS); every text is scored whole. The broadcast weights have a fixed size.
+hashed words it has (logistic), a document's score is a noisy-or of its sentences' probabilities,
+and the weights are trained on document labels alone by the same rule; the sentence probabilities
+then locate the offending sentences. The noisy-or takes every sentence that is likelier toxic than
+not, and the worst of the others once: if it took all, the small odds of many harmless sentences
+would add up and call long clean texts toxic. Training runs on a bounded sample of the labelled rows
+(SAMPLE_WORDS); every text is scored whole. The broadcast weights have a fixed size.
 
 A null or empty text has no sentence and scores 0. Documents with several labels that differ are
 left out of the training. Rows are independent, so repeated rows and ties agree. With no toxic or
@@ -30,9 +31,10 @@ BUCKETS = 1 << 18
 STEM = 4
 #: About so many words of labelled documents are gathered on the driver (4 bytes each) and fitted.
 SAMPLE_WORDS = 4_000_000
-#: Features in fewer toxic documents of the sample than this have weight 0, and so have those that don't raise the odds by this factor.
-MIN_TOXIC, LIFT = 3, 2.7
+#: Features in fewer toxic documents of the sample than this have weight 0, and so have those that don't surely raise the odds by this factor (the lower bound, so many standard errors away).
+MIN_TOXIC, LIFT, SURE = 3, 2.7, 1.64
 STEPS, RATE, DECAY = 150, 0.15, 1e-3
+Model = tuple[np.ndarray, float, bool]
 
 _MAP = bytearray(range(256))
 for _c in range(128):
@@ -87,15 +89,29 @@ def _sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def counted(z: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Which sentences the noisy-or takes: those with log-odds over 0, and the worst of a text's others."""
+    some = per_text[per_text > 0]
+    owner = np.repeat(np.arange(len(some)), some)
+    take = z > 0
+    take[np.lexsort((np.where(take, -np.inf, z), owner))[np.cumsum(some) - 1]] = True
+    return take
+
+
 def document_scores(z: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-    """Noisy-or of the sentences' log-odds."""
-    return -np.expm1(-_sums(np.logaddexp(0, z), per_text))
+    """Noisy-or of the sentences, from their log-odds; texts without sentences score 0."""
+    return -np.expm1(-_sums(np.where(counted(z, per_text), np.logaddexp(0, z), 0.0), per_text))
 
 
-def worst(z: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-    """The highest log-odds of each text that has sentences."""
-    some = per_text[per_text > 0]
-    return np.maximum.reduceat(z, np.cumsum(some) - some) if len(some) else np.zeros(0)
+def loss(x: np.ndarray, sentence: np.ndarray, word: np.ndarray, per_text: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the labels of texts with sentences, and its gradient. x: weights and bias; a pair (sentence, word) for each word of a sentence."""
+    z = np.bincount(sentence, weights=x[word], minlength=per_text.sum()) + x[-1]
+    take = counted(z, per_text)
+    total = np.maximum(_sums(np.where(take, np.logaddexp(0, z), 0.0), per_text), 1e-12)
+    value = np.where(label == 1, -np.log(-np.expm1(-total)), total).mean()
+    d = np.where(label == 1, -1 / np.expm1(total), 1.0) / len(label)
+    dz = np.where(take, np.repeat(d, per_text) / (1 + np.exp(-z)), 0.0)
+    return float(value), np.r_[np.bincount(word, weights=dz[sentence], minlength=len(x) - 1), dz.sum()]
 
 
 def train(word: np.ndarray, per_sentence: np.ndarray, per_text: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
@@ -115,29 +131,23 @@ def train(word: np.ndarray, per_sentence: np.ndarray, per_text: np.ndarray, labe
     # From the smoothed log odds of a document with the word, so that a few steps do.
     rate = (toxic + 2 * share) / (seen + 2)
     w = np.clip(np.log(rate / (1 - np.minimum(rate, 0.999))) - np.log(share / (1 - share)), -3, 6)
-    use = np.flatnonzero((toxic >= MIN_TOXIC) & (w >= np.log(LIFT)))
-    w = w[use]
+    # The lower Wilson bound of the rate of toxic documents must raise the odds: rare features need better evidence than frequent ones.
+    n, z2 = np.maximum(seen, 1), SURE * SURE
+    low = (toxic / n + z2 / (2 * n) - SURE * np.sqrt(toxic / n * (1 - toxic / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    use = np.flatnonzero((toxic >= MIN_TOXIC) & (low / (1 - np.minimum(low, 0.999)) >= LIFT * share / (1 - share)))
     index = np.full(BUCKETS, -1)
     index[use] = np.arange(len(use))
-    keep = index[word] >= 0
-    sentence, word = sentence[keep], index[word[keep]]
-    bias = np.log(share / (1 - share))
-    x = np.r_[w, bias]
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    n = len(label)
-    # Sentences without a feature all have the bias as their log-odds: one a document is enough, after the others.
-    has, sentence = np.unique(sentence, return_inverse=True)
+    kept = index[word] >= 0
+    # Sentences without a feature all have the bias as their log-odds: one a text is enough, after the others.
+    has, sentence = np.unique(sentence[kept], return_inverse=True)
+    word, n = index[word[kept]], len(label)
     own = np.bincount(doc[has], minlength=n)
     blank = own < per_text
-    place = np.arange(len(has)) + (np.cumsum(blank) - blank)[doc[has]]
-    doc = np.repeat(np.arange(n), own + blank)
+    sentence = (np.arange(len(has)) + (np.cumsum(blank) - blank)[doc[has]])[sentence]
+    x = np.r_[w[use], np.log(share / (1 - share))]
+    m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
-        z = np.full(len(doc), x[-1])
-        z[place] += np.bincount(sentence, weights=x[word], minlength=len(has))
-        top = np.lexsort((z, doc))[np.cumsum(own + blank) - 1]
-        dz = np.zeros(len(doc))
-        dz[top] = (1 / (1 + np.exp(-z[top])) - label) / n
-        g = np.r_[np.bincount(word, weights=dz[place][sentence], minlength=len(use)), dz.sum()]
+        _, g = loss(x, sentence, word, own + blank, label)
         g[:-1] += DECAY * x[:-1] / max(1, len(use)) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -156,16 +166,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(picked, "label_id").select("label_id", F.col("label").cast("int").alias("label"), "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_words: int = SAMPLE_WORDS) -> tuple[np.ndarray, float, bool]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_words: int = SAMPLE_WORDS) -> Model:
     """Weights, bias, and whether anything could be learned (else bias is the share of toxic labels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for i, text in enumerate(texts):
-                word, per_sentence, _ = features([text], buckets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([word.tobytes()], pa.binary()), pa.array([per_sentence.tobytes()], pa.binary())], ["label_id", "label", "word", "per_sentence"])
+            for a, b in slices(map(len, texts)):
+                each = [features([text], buckets) for text in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), *(pa.array([e[i].tobytes() for e in each], pa.binary()) for i in range(2))], ["label_id", "label", "word", "per_sentence"])
 
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, max_words).mapInArrow(run, "label_id long, label int, word binary, per_sentence binary").toArrow().sort_by("label_id")
     each = [[np.frombuffer(x.as_buffer(), np.int32) for x in rows[c].combine_chunks()] for c in ("word", "per_sentence")] if rows.num_rows else [[], []]
@@ -175,18 +185,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return weights, bias, 0 < (label.mean() if len(label) else 0) < 1
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, bool], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score, n_sentences, worst (log-odds of the worst sentence)."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, score, n_sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, learned = shared.value
         buckets = _Buckets()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out = [[np.zeros(0)], [np.zeros(0, np.int64)]]
             for a, b in slices(map(len, texts)):
-                p, n = scored(texts[a:b], weights, bias, learned, buckets)
+                p, n = scored(texts[a:b], shared.value, buckets)
                 out[0].append(p)
                 out[1].append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1]))], ["doc_id", "score", "n_sentences"])
@@ -194,18 +203,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, bool], id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, n_sentences long")
 
 
-def keep(docs: DataFrame, model: tuple[np.ndarray, float, bool], below: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: Model, below: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under `below`, all columns as they were. Rows stay where they are: no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, learned = shared.value
         buckets = _Buckets()
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             for a, b in slices(map(len, texts)):
-                p, _ = scored(texts[a:b], weights, bias, learned, buckets)
+                p, _ = scored(texts[a:b], shared.value, buckets)
                 yield batch.slice(a, b - a).filter(pa.array(p < below))
 
     return docs.mapInArrow(run, docs.schema)
@@ -220,15 +228,16 @@ def sentence_odds(word: np.ndarray, per_sentence: np.ndarray, weights: np.ndarra
     return np.bincount(pair // BUCKETS, weights=weights[pair % BUCKETS], minlength=len(per_sentence)) + bias
 
 
-def scored(texts: list[str], weights: np.ndarray, bias: float, learned: bool, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
+def scored(texts: list[str], model: Model, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of whole texts, and how many sentences they have."""
+    weights, bias, learned = model
     word, per_sentence, per_text = features(texts, buckets)
     if not learned:
         return np.where(per_text > 0, bias, 0.0), per_text.astype(np.int64)
-    z = worst(sentence_odds(word, per_sentence, weights, bias), per_text)
-    return np.clip(document_scores(z, np.minimum(per_text, 1)), 0, 1), per_text.astype(np.int64)
+    return np.clip(document_scores(sentence_odds(word, per_sentence, weights, bias), per_text), 0, 1), per_text.astype(np.int64)
 
 
-def locate(docs: DataFrame, model: tuple[np.ndarray, float, bool], least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per offending sentence: doc_id, start and end (code points of the text), sentence, score of the sentence (at least `least`)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

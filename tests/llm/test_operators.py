@@ -297,9 +297,9 @@ def test_toxicity_without_labels(spark, docs, none):
 def test_toxicity_of_long_clean_texts(spark):
     # Sentences of clean documents that weren't learned from, in each language: no length makes them toxic, and one bad sentence still does.
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    weights, bias, learned = toxicity.fit(docs.filter(~toxicity.held_out()), labels)
+    model = toxicity.fit(docs.filter(~toxicity.held_out()), labels)
     held = docs.filter(toxicity.held_out()).join(labels, "doc_id").select("lang", "text", "toxic").collect()
-    score = lambda texts: toxicity.scored(texts, weights, bias, learned, toxicity._Buckets())[0]
+    score = lambda texts: toxicity.scored(texts, model, toxicity._Buckets())[0]
     p = score([r.text for r in held])
     bad = [r.text for r, x in zip(held, p, strict=True) if r.toxic and x >= 0.5]
     assert np.mean((p >= 0.5) == np.array([r.toxic for r in held])) > 0.97 and len({r.lang for r in held}) == 4
@@ -312,10 +312,49 @@ def test_toxicity_of_long_clean_texts(spark):
 
 
 def test_noisy_or():
-    z = np.array([0.3, -1.0, 2.0])
+    z = np.array([0.3, -1.0, 2.0, -1.0, -2.0, 0.5])
     p = 1 / (1 + np.exp(-z))
-    got = toxicity.document_scores(z, np.array([2, 0, 1]))
-    assert np.allclose(got, [1 - (1 - p[0]) * (1 - p[1]), 0, p[2]])
+    got = toxicity.document_scores(z, np.array([2, 0, 1, 2, 1]))
+    assert np.allclose(got, [1 - (1 - p[0]) * (1 - p[1]), 0, p[2], p[3], p[5]])
+    assert toxicity.document_scores(np.zeros(0), np.zeros(3, int)).tolist() == [0, 0, 0]
+
+
+def test_toxicity_loss_against_a_plain_loop():
+    rng = np.random.default_rng(5)
+    per_text = np.array([3, 1, 4, 2, 5])
+    owner = np.repeat(np.arange(5), per_text)
+    pairs = sorted({(int(rng.integers(15)), int(rng.integers(6))) for _ in range(40)})
+    sentence, word = (np.array(x) for x in zip(*pairs, strict=True))
+    label = np.array([1, 0, 1, 0, 1.0])
+    x = np.r_[rng.normal(0, 1, 6), -0.4]
+
+    def plain(x):
+        out = 0
+        for d in range(5):
+            z = [sum(x[w] for t, w in pairs if t == s) + x[-1] for s in range(15) if owner[s] == d]
+            rest = [v for v in z if v <= 0]
+            clean = math.prod(1 / (1 + math.exp(v)) for v in [*(v for v in z if v > 0), *([max(rest)] if rest else [])])
+            out -= math.log(1 - clean if label[d] else clean)
+        return out / 5
+
+    value, gradient = toxicity.loss(x, sentence, word, per_text, label)
+    assert abs(value - plain(x)) < 1e-9
+    for i in range(len(x)):
+        step = np.eye(len(x))[i] * 1e-6
+        assert abs(gradient[i] - (plain(x + step) - plain(x - step)) / 2e-6) < 1e-5
+
+
+def test_toxicity_of_clashing_long_and_repeated_rows(spark, docs):
+    rows, labels = toxic_docs()
+    label = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("label", F.lit("x")).withColumn("text", F.lit("scum"))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("x")).withColumn("toxic", F.lit(1)), label)
+    mixed = docs.union(docs).unionByName(docs.limit(1).withColumn("text", F.lit("you are scum w1. " + "w1 w2 w3. " * 30_000)).withColumn("doc_id", F.lit(9000)))
+    out = toxicity.score(mixed, model).collect()
+    assert len(out) == 2 * docs.count() + 1 and all(0 <= r.score <= 1 for r in out)
+    assert len({(r.doc_id, r.score) for r in out}) == docs.count() + 1
+    assert next(r.score for r in out if r.doc_id == 9000) >= 0.5
+    kept = toxicity.keep(mixed, model)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 9000").count() == 0 and kept.count() % 2 == 0
 
 
 # SimHash
