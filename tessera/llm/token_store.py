@@ -5,12 +5,15 @@ says so, so equal passages give equal chunks wherever they stand. A chunk is sto
 its SHA-256. Three tables in one folder, written by Spark and readable from any store:
 
   packs     digest, n, payload (ids as little-endian unsigned 16- or 32-bit integers), by digest
-  recipes   in ascending doc_id order: block, doc_id, block_start, n_tokens, root, chunks (digests in order)
-  manifest  one row per block of recipes: block, n_docs, n_tokens, start, root
+  recipes   in ascending doc_id order: part, block, doc_id, place (ids of the part before), n_tokens, root, chunks (digests in order)
+  manifest  one row per block of recipes: part, block, n_docs, n_tokens, root
+  parts     one row per part of recipes: part, n_blocks, n_tokens, start, root
 
-A document's root is the Merkle root of its chunks' digests, a block's that of its documents'
-roots. Reading verifies every stored chunk against its digest and every recipe against its root,
-and every block against the manifest; a mismatch is an error.
+A document's root is the Merkle root of its chunks' digests, a block's (BLOCK_DOCS documents) that of
+its documents' roots, a part's that of its blocks'; a part is a range of ids that one task writes, and
+there are as many as shuffle partitions. Reading verifies every stored chunk against its digest, every recipe
+against its root, every block against the manifest and every part against its blocks; a mismatch is
+an error.
 
 Null text is an empty text: only the end id. Repeated rows have a recipe each, in any order among
 equals. An empty table gives empty tables. Further columns of the input aren't read.
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import END, SIMPLE, PieceCache, cache_for, encoded, texts_of
-from .common import scratch_path, slices, sorted_distinct
+from .common import checkpointed, delete, join_hot, scratch_path, slices, sorted_distinct
 
 END_ID = 1
 #: Ids that the rolling hash sees, the bits that must be 0 at a cut (a chunk of 512 ids in the mean), and the longest chunk.
 WINDOW, CUT_BITS, LONGEST = 8, 9, 8192
 #: Digests a task remembers, so that it doesn't pass on a chunk's payload twice; forgetting them costs space for a while, no correctness.
 SEEN = 200_000
+#: Documents of a block, whose roots one task gathers (32 bytes each).
+BLOCK_DOCS = 4096
 
 
 class LibraryCache(PieceCache):
@@ -156,29 +161,42 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-_RECIPE = "block int, doc_id long, block_start long, n_tokens long, root binary, chunks array<binary>"
-_RECIPE_ARROW = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("block_start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(pa.binary()))])
+_RECIPE = "part int, block int, doc_id long, place long, n_tokens long, root binary, chunks array<binary>"
+_RECIPE_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(pa.binary()))])
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, start = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.column(1).to_numpy()
-        ends = start + np.cumsum(n)
-        roots = [merkle_root(c) for c in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), batch.column(0), pa.array(ends - n, pa.int64()), batch.column(1), pa.array(roots, pa.binary()), batch.column(2).cast(pa.list_(pa.binary()))], schema=_RECIPE_ARROW)
-        start = int(ends[-1]) if len(ends) else start
+def _recipes(block_docs: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start, docs = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            ends = start + np.cumsum(n)
+            roots = [merkle_root(c) for c in batch.column(2).to_pylist()]
+            block = (docs + np.arange(len(n))) // block_docs
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(block.astype(np.int32)), batch.column(0), pa.array(ends - n, pa.int64()), batch.column(1), pa.array(roots, pa.binary()), batch.column(2).cast(pa.list_(pa.binary()))], schema=_RECIPE_ARROW)
+            start, docs = int(ends[-1]) if len(ends) else start, docs + len(n)
+
+    return run
+
+
+def _tree(order: list[str]):
+    """The Merkle root of a group's roots, in order of these columns."""
+    tree = F.udf(lambda roots: merkle_root([bytes(r) for r in roots]), "binary")
+    return tree(F.transform(F.array_sort(F.collect_list(F.struct(*order, "root"))), lambda r: r["root"]))
 
 
 def block_roots(recipes: DataFrame) -> DataFrame:
-    """block, n_docs, n_tokens, root: the blocks as read. A block is a partition as it was written, and its roots (32 bytes a document) are gathered for its Merkle tree."""
-    rows = F.array_sort(F.collect_list(F.struct("block_start", "doc_id", "root")))
-    tree = F.udf(lambda rows: merkle_root([bytes(r[2]) for r in rows]), "binary")
-    return recipes.groupBy("block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), rows.alias("rows")).select("block", "n_docs", "n_tokens", tree("rows").alias("root"))
+    """part, block, n_docs, n_tokens, root: the blocks as read; a task gathers the roots of BLOCK_DOCS documents."""
+    return recipes.groupBy("part", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _tree(["place", "doc_id"]).alias("root"))
+
+
+def part_roots(blocks: DataFrame) -> DataFrame:
+    """part, n_blocks, n_tokens, root, from the blocks."""
+    return blocks.groupBy("part").agg(F.count("*").alias("n_blocks"), F.sum("n_tokens").alias("n_tokens"), _tree(["block"]).alias("root"))
 
 
-def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", width: str = "<u2") -> None:
-    """Encode docs and write packs, recipes and manifest under folder. width: <u2 for vocabularies of up to 65,536 ids, else <u4."""
+def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", width: str = "<u2", block_docs: int = BLOCK_DOCS) -> None:
+    """Encode docs and write packs, recipes, manifest and parts under folder. width: <u2 for vocabularies of up to 65,536 ids, else <u4."""
     spark = docs.sparkSession
     log_path = scratch_path(spark, "chunk-log")
     _cut(docs, path, width, id_col, text_col).write.option("compression", "zstd").parquet(log_path)
@@ -186,13 +204,14 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     chunk = log.select(F.explode("chunks").alias("c")).select("c.*").filter("payload is not null")
     chunk.repartition("digest").sortWithinPartitions("digest").mapInArrow(_once, "digest binary, n int, payload binary").write.option("compression", "zstd").parquet(f"{folder}/packs")
     recipe = log.select("doc_id", "n_tokens", F.col("chunks.digest").alias("chunks")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    recipe.mapInArrow(_recipes, _RECIPE).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    recipe.mapInArrow(_recipes(block_docs), _RECIPE).write.option("compression", "zstd").parquet(f"{folder}/recipes")
     blocks = block_roots(spark.read.schema(_RECIPE).parquet(f"{folder}/recipes"))
-    # One row a block of recipes: the running sum runs over as many rows as there are partitions.
-    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks.withColumn("start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).coalesce(1).write.parquet(f"{folder}/manifest")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(log_path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    blocks.write.parquet(f"{folder}/manifest")
+    # One row a part: the running sum runs over as many rows as there are partitions.
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = part_roots(spark.read.schema(blocks.schema).parquet(f"{folder}/manifest"))
+    parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).coalesce(1).write.parquet(f"{folder}/parts")
+    delete(spark, log_path)
 
 
 def _crc_tables() -> np.ndarray:
@@ -234,13 +253,18 @@ def crc_of_parts(crcs: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.
 
 
 def verified_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """The recipes with their place in the whole stream: doc_id, start, n_tokens, root, chunks. Blocks are held against the manifest."""
+    """The recipes with their place in the whole stream: doc_id, start, n_tokens, root, chunks. Blocks are held against the manifest, parts against their blocks."""
     recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    found = block_roots(recipes).select("block", F.col("root").alias("found"))
-    # As many rows as the writer had partitions, so they may be broadcast.
-    checked = manifest.join(found, "block", "left").select("block", "start", F.when(F.col("root") != F.coalesce("found", F.lit(b"")), F.raise_error(F.lit("a block of recipes differs from the manifest"))).alias("bad"))
-    return recipes.join(F.broadcast(checked), "block").filter("bad is null").select("doc_id", (F.col("start") + F.col("block_start")).alias("start"), "n_tokens", "root", "chunks")
+    blocks, parts = (spark.read.parquet(f"{folder}/{name}") for name in ("manifest", "parts"))
+    seen = block_roots(recipes).join(blocks.withColumnRenamed("root", "want").select("part", "block", "want"), ["part", "block"], "full_outer")
+    seen = seen.withColumn("fits", F.coalesce(F.col("root") == F.col("want"), F.lit(False)))
+    found = part_roots(seen).join(seen.groupBy("part").agg(F.min("fits").alias("fits")), "part")
+    found = found.select(F.col("part").alias("found_part"), F.col("root").alias("found"), "fits")
+    # One row a part, as many as the writer had partitions, so they may be broadcast.
+    checked = checkpointed(parts.join(found, F.col("part") == F.col("found_part"), "full_outer").select("part", "start", F.coalesce(F.col("fits") & (F.col("root") == F.col("found")), F.lit(False)).alias("fits")))
+    if checked.filter("not fits").head(1):
+        raise ValueError("recipes differ from the manifest")
+    return recipes.join(F.broadcast(checked), "part").select("doc_id", (F.col("start") + F.col("place")).alias("start"), "n_tokens", "root", "chunks")
 
 
 def chunk_sums(spark: SparkSession, folder: str, width: str = "<u2") -> DataFrame:
@@ -277,7 +301,7 @@ def read_sums(spark: SparkSession, folder: str, width: str = "<u2") -> DataFrame
             total = crc_of_parts(crc, size, np.array([len(own) for own in parts], np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = _parts(verified_recipes(spark, folder)).join(chunk_sums(spark, folder, width), "digest", "left")
+    joined = join_hot(_parts(verified_recipes(spark, folder)), chunk_sums(spark, folder, width), "digest", "left")
     whole = joined.groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("place", "digest", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc")))).alias("parts"))
     return whole.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -298,6 +322,6 @@ def read_documents(spark: SparkSession, folder: str, width: str = "<u2") -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["doc_id", "start", "ids"])
 
     packs = spark.read.parquet(f"{folder}/packs").select("digest", "payload")
-    joined = _parts(verified_recipes(spark, folder)).join(packs, "digest", "left")
+    joined = join_hot(_parts(verified_recipes(spark, folder)), packs, "digest", "left")
     whole = joined.groupBy("doc_id", "start", "root").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "payload"))).alias("parts"))
     return whole.select("doc_id", "start", "root", "parts").mapInArrow(run, "doc_id long, start long, ids array<int>")

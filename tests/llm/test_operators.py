@@ -202,6 +202,35 @@ def test_store_finds_damage(spark, docs, tmp_path):
         token_store.read_sums(spark, folder).collect()
 
 
+@pytest.mark.parametrize("name", ["recipes", "manifest", "parts"])
+def test_store_finds_lost_rows(spark, docs, tmp_path, name):
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(docs, folder, PATH, block_docs=2)
+    assert spark.read.parquet(f"{folder}/manifest").count() >= docs.count() / 2
+    table = spark.read.parquet(f"{folder}/{name}")
+    table.limit(table.count() - 1).write.parquet(f"{folder}/cut")
+    (tmp_path / f"store/{name}").rename(tmp_path / "store/old")
+    (tmp_path / "store/cut").rename(tmp_path / f"store/{name}")
+    with pytest.raises(Exception, match="differ from the manifest"):
+        token_store.read_sums(spark, folder).collect()
+
+
+def test_store_of_repeated_rows_and_wide_ids(spark, docs, rows, library, tmp_path, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # the end id alone is a hot chunk
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(docs.union(docs), folder, PATH, width="<u4")
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_sums(spark, folder, "<u4").collect())
+    want, start = [], 0
+    for d, t, *_ in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for _ in range(2):
+            want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    assert got == want
+
+
 def test_store_of_nothing(spark, none, tmp_path):
     token_store.write_store(none, f"file://{tmp_path}/store", PATH)
     assert token_store.read_sums(spark, f"file://{tmp_path}/store").count() == 0
