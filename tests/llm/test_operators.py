@@ -568,13 +568,43 @@ def test_search_of_few_or_none(spark):
 def test_probing_finds_all_within_the_radius():
     rng = np.random.default_rng(8)
     codes = rng.integers(0, 1 << 63, (500, 1), np.uint64)
-    near = codes[:20] ^ np.uint64(0b10010001)
-    codes = np.r_[codes, near]
-    index = mih.Index(codes)
-    for q in codes[:20]:
-        for radius in (0, 3, 7, 24):
-            want = np.flatnonzero(np.bitwise_count(codes[:, 0] ^ q[0]) <= radius)
-            assert sorted(index.within(q, radius)) == want.tolist()
+    codes = np.r_[codes, codes[:20] ^ np.uint64(0b10010001)]
+    for bits in (8, 12):
+        index = mih.Index(codes, bits)
+        for q in codes[:20]:
+            hit = np.zeros(len(codes), bool)
+            for t in range(3):
+                index.probe(mih.substrings(q[None], bits)[0], t, len(index.tables), hit)
+                near = np.bitwise_count(codes[:, 0] ^ q[0]) <= len(index.tables) * (t + 1) - 1
+                assert (hit | ~near).all()
+            assert index.retrieve(q, np.ones(len(codes), int), len(codes), 0, 0).tolist() == list(range(len(codes)))
+
+
+@pytest.mark.parametrize(("clusters", "most"), [(0, 0.33), (100, 0.05)])
+def test_recall_and_share_of_rows_touched(clusters, most):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((8000, 64))
+    if clusters:
+        x = rng.standard_normal((clusters, 64))[rng.integers(0, clusters, 8000)] + 0.2 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn = mih.learn_rotations(x[:4096])
+    codes = mih.encode(x, turn)
+    last, slack = mih.learn_probing(x[:4096], codes[:4096], 5, 13)
+    index = mih.Index(codes, 13)
+    hits = touched = 0
+    for q in range(0, 8000, 80):
+        found = index.retrieve(codes[q], np.ones(len(x), int), 6, last, slack)
+        best = np.argsort(-(x @ x[q]))[1:6]
+        hits += np.isin(best, found).sum()
+        touched += len(found)
+    assert hits >= 0.95 * 500 and touched <= most * 100 * 8000, (hits / 500, touched / 800000, last, slack)
+
+
+def test_search_of_other_lengths_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [2.0]), (3, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("v", "class", "shard", "block", "ids", "salt")})
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in mih.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, round(1 / math.sqrt(1.01), 6)), (0, 3, 3, 0.0)]
 
 
 # Licences
