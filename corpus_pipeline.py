@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from tessera.llm.common import scratch_path, table
+from tessera.llm.common import delete, scratch_path, table
 from tessera.session import ship
 
 
@@ -25,11 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (white space aside) the longest row stays, then that of the smallest id; a null text counts as empty."""
     ship(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays, that of the smallest id."""
     ship(spark)
     return simhash.drop_near_copies(docs)
 
@@ -40,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row: doc_id, n_tokens and the digests of its ids and of the decoded text."""
     ship(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
+    """The last stage's rows. A stage's table goes once the next one's is written; the last stays, as the result reads it."""
+    docs, old = table(ship(spark), sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if old:
+            delete(spark, old)
+        old = path
     return docs
