@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _lines(log: Column) -> Column:
-    return F.transform(F.split(F.coalesce(log, F.lit("")), "\n"), F.trim)
+    return F.transform(F.split(F.coalesce(log, F.lit("")), "\n"), lambda line: F.trim(line))
 
 
 def last_number(log: Column, pattern: str) -> Column:
@@ -63,9 +63,10 @@ def proof_result(log: Column) -> Column:
 
 
 def bounded_result(log: Column) -> Column:
-    """struct(outcome, errors) of a bounded checker: ok, violation or error."""
-    outcome = F.when(log.rlike("(?i)outcome is: NoError"), "ok").when(log.rlike("(?i)outcome is: Error|violat"), "violation").otherwise("error")
-    return F.struct(outcome.alias("outcome"), F.slice(F.filter(_lines(log), lambda line: line.rlike("(?i)error")), 1, 10).alias("errors"))
+    """struct(outcome, errors) of a bounded checker: ok, violation or error, and the lines that tell errors if it is one."""
+    outcome = F.when(log.rlike("EXITCODE: OK|No error has been found"), "ok").when(log.rlike(r"EXITCODE: ERROR \(12\)|(?i:violated)"), "violation").otherwise("error")
+    told = F.filter(_lines(log), lambda line: line.rlike("Error|ERROR|Type checker"))
+    return F.struct(outcome.alias("outcome"), F.when(outcome == "error", F.slice(told, 1, 5)).otherwise(F.array().cast("array<string>")).alias("errors"))
 
 
 def feedback(log: Column, trace_lines: int = 20, errors: int = 3) -> Column:

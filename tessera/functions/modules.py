@@ -115,33 +115,78 @@ def constants(text: Column) -> Column:
 
 
 def guessed_type(name: Column) -> Column:
+    """What a variable's name tells of its kind."""
     low = F.lower(name)
-    return F.when(low.rlike("count|num|size|max|min|clock|time|term|index"), "number").when(low.rlike("queue|log|seq|buffer|history"), "sequence").when(low.rlike("set|msgs|messages|nodes|votes"), "set").when(low.rlike("^(is|has)|flag|done|locked"), "boolean").otherwise("function or value")
+    control = low.startswith("pc") | (low == "self")
+    return F.when(control, "[control / process state]").when(low.rlike("chan|msg|buf"), "[message/channel component]").when(low.endswith("s") & (low != "vars"), "[set or sequence component]").otherwise("[state function / data value]")
 
 
-def notes(text: Column) -> Column:
-    """Fairness and nondeterminism, in words."""
-    return F.concat_ws("; ", F.when(text.rlike("WF_"), "weak fairness"), F.when(text.rlike("SF_"), "strong fairness"), F.when(~text.rlike("WF_|SF_"), "no fairness"), F.when(text.rlike(r"\\E\s|\\/"), "nondeterministic choice"))
+# The sentences of the notes.
+NOTE_EXISTS = "existential quantification (\\E) chooses a witness (e.g. process or schedule step)."
+NOTE_CHOOSE = "CHOOSE picks a deterministic value satisfying a predicate."
+NOTE_OR = "disjunction (\\/) combines alternative transitions."
+NOTE_NO_CHOICE = "No explicit \\E/CHOOSE detected in scanned Next/spec fragment; may be deterministic or use library ops."
+NOTE_WEAK, NOTE_STRONG = "Weak fairness (WF_) on action(s).", "Strong fairness (SF_) on action(s)."
+NOTE_FAIR = "Fairness constraints appear in Spec or related definitions."
+NOTE_UNFAIR = "No WF_/SF_ tokens found in Spec fragment; liveness may be absent or expressed differently."
 
 
-def invariant_names(text: Column) -> Column:
-    """Definitions whose names tell an invariant, in order."""
-    return F.filter(F.array_distinct(definitions(text)), lambda n: n.rlike(r"^(TypeOK|TypeInvariant|Inv|Safety|Mutex|MutualExclusion)|Inv$|Invariant$|Safety$"))
+def _noted(none: str, *found: Column) -> Column:
+    told = F.concat_ws(" ", *found)
+    return F.when(told == "", none).otherwise(told)
+
+
+def nondeterminism(text: Column, next_body: Column, head: int = 12_000) -> Column:
+    """What leaves the next state open, in words; the relation's body and the head of the text are looked at."""
+    seen, step = F.concat(F.coalesce(next_body, F.lit("")), F.substring(text, 1, head)), F.coalesce(next_body, F.lit(""))
+    has = lambda s, x: F.contains(s, F.lit(x))
+    return _noted(NOTE_NO_CHOICE, F.when(has(seen, "\\E"), NOTE_EXISTS), F.when(has(seen, "CHOOSE"), NOTE_CHOOSE), F.when(has(step, "\\/") & has(text, "Next"), NOTE_OR))
+
+
+def fairness(text: Column, spec_line: Column, tail: int = 4000) -> Column:
+    """The fairness that the specification's line and the end of the text state, in words."""
+    seen = F.concat(F.coalesce(spec_line, F.lit("")), F.substring(text, -tail, tail))
+    return _noted(NOTE_UNFAIR, F.when(F.contains(seen, F.lit("WF_")), NOTE_WEAK), F.when(F.contains(seen, F.lit("SF_")), NOTE_STRONG), F.when(F.contains(F.lower(seen), F.lit("fair")), NOTE_FAIR))
+
+
+INVARIANT_NAME = r"(?m)^(\w+Inv(?:ariant)?|TypeOK|Safety\w*)\s*=="
+
+
+def invariant_names(text: Column, config: Column | None = None) -> Column:
+    """Names that the configuration lists; without any, definitions at the start of a line whose names tell an invariant."""
+    told = F.regexp_extract_all(text, F.lit(INVARIANT_NAME), 1)
+    if config is None:
+        return told
+    listed = F.flatten(F.transform(F.regexp_extract_all(config, F.lit(r"INVARIANTS?\s+([^\n]+)"), 1), lambda x: F.split(F.trim(x), r"\s+")))
+    listed = F.filter(listed, lambda n: (n != "") & ~n.startswith("\\*"))
+    return F.when(F.size(F.coalesce(listed, F.array().cast("array<string>"))) > 0, listed).otherwise(told)
+
+
+def invariant_blocks(text: Column) -> Column:
+    """Each invariant's header line with the indented or blank lines below it."""
+    found = F.regexp_extract_all(text, F.lit(r"(?mi)^((?:TypeOK|Safety|Inv\w*|[^\n]*Invariant)[^\S\n]*==[^\n]*(?:\n(?: [^\n]*|[^\S\n]*(?=\n|\z)))*)"), 1)
+    return F.transform(found, strip)
 
 
 def invariant_block(text: Column) -> Column:
-    """The first invariant's header with the indented or blank lines below it; empty if there is none."""
-    return F.regexp_extract(text, r"(?m)^((?:\w*Inv\w*|TypeOK|Safety\w*)\s*==[^\n]*(?:\n(?:[ \t]+[^\n]*)?)*)", 1)
+    """All invariants' blocks, an empty line between; empty if there is none."""
+    return F.array_join(invariant_blocks(text), "\n\n")
 
 
 def trivial_invariant(text: Column, names: Column) -> Column:
     return (F.size(names) > 0) & F.forall(names, lambda n: F.regexp_like(text, F.concat(F.lit(r"(?m)^\Q"), n, F.lit(r"\E\s*==\s*TRUE\s*$"))))
 
 
-def constant_value(name: Column) -> Column:
-    """A small value for the checker, by ordered rules on the name."""
-    low = F.lower(name)
-    return F.when(low.rlike("^(max|n|num|limit|bound|size|k)"), "3").when(low.rlike("null|none|nil|default"), name).when(low.rlike("s$|set|procs|nodes|servers|clients|values"), F.concat(F.lit("{"), F.substring(low, 1, 1), F.lit("1, "), F.substring(low, 1, 1), F.lit("2}"))).otherwise("2")
+# Names that are sets of actors, single actors; others are small numbers.
+ACTORS = r"^(Proc|Process|Node|Server|Client|Participant|Thread|Worker|Acceptor|Proposer|Learner|Replica|Philosopher|Fork)s?$"
+SINGLE_ACTORS = r"^(Coordinator|Leader|Primary|Head|Tail)$"
+
+
+def constant_value(name: Column, text: Column) -> Column:
+    """A small value for the checker: by how the text uses the name (end of a range, set after \\in), else by the name, else 3."""
+    used = lambda before: F.regexp_like(text, F.concat(F.lit(before + r"\Q"), name, F.lit(r"\E\b")))
+    actors = "{v1, v2, v3}"
+    return F.when(used(r"\b\d+\s*\.\.\s*"), "3").when(used(r"[\\]in\s+"), actors).when(name.rlike(ACTORS), actors).when(name.rlike(SINGLE_ACTORS), "v1").otherwise("3")
 
 
 def checker_config(text: Column) -> Column:
@@ -150,7 +195,7 @@ def checker_config(text: Column) -> Column:
     has = lambda n: F.array_contains(names, F.lit(n))
     head = F.when(has("Spec"), "SPECIFICATION Spec").when(has("Init") & has("Next"), "INIT Init\nNEXT Next")
     inv = F.transform(invariant_names(text), lambda n: F.concat(F.lit("INVARIANT "), n))
-    con = F.transform(constants(text), lambda c: F.concat(F.lit("CONSTANT "), c, F.lit(" = "), constant_value(c)))
+    con = F.transform(constants(text), lambda c: F.concat(F.lit("CONSTANT "), c, F.lit(" = "), constant_value(c, text)))
     return F.when(head.isNotNull(), F.array_join(F.concat(F.array(head), inv, con), "\n"))
 
 

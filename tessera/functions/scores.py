@@ -61,10 +61,15 @@ def richness(spec: Column) -> Column:
     return reduce(lambda a, b: a + b, [spec.rlike(p).cast("int") for p in RICH_PATTERNS])
 
 
+# What counts as a comment (a block comment only at the start of a line) and as an invariant.
+COMMENT_PATTERN = r"(?m)([\\][*]|^\s*[(][*])"
+INVARIANT_PATTERN = r"(?mi)^(TypeOK|Safety|Inv|.*Invariant)\s*=="
+
+
 def quality(spec: Column) -> Column:
     """struct: raw score 0-10, overall 1-5 (halves to even), and the features they come from."""
     n, rich = line_count(spec), richness(spec)
-    comments, invariants = spec.rlike(r"\(\*|\\\*"), spec.rlike(r"(?m)^\s*(Inv|TypeOK|TypeInv|Safety)\w*\s*==|INVARIANT")
+    comments, invariants = spec.rlike(COMMENT_PATTERN), spec.rlike(INVARIANT_PATTERN)
     liveness, primed, quantified = spec.rlike(r"(?m)(ENABLED|<>|^\[\]|~>|WF_|SF_)"), spec.rlike(r"[a-zA-Z_]\w*'"), spec.rlike(r"\\E\s|\\A\s|∃|∀")
     raw = F.when(n.between(50, 500), 2).when(n.between(20, 49) | n.between(501, 1000), 1).otherwise(0) + comments.cast("int") + 2 * invariants.cast("int") + liveness.cast("int")
     raw = raw + F.when(rich >= 5, 2).when(rich >= 2, 1).otherwise(0) + primed.cast("int") + quantified.cast("int")
@@ -89,7 +94,8 @@ def defines(spec: Column, name: Column) -> Column:
 
 
 def expected_overlap(spec: Column, expected: Column) -> Column:
-    return F.size(F.filter(expected, lambda n: F.contains(spec, n)))
+    """How many of the expected names a definition at the start of a line has."""
+    return F.size(F.filter(expected, lambda n: defines(spec, n)))
 
 
 def complexity(spec: Column) -> Column:
@@ -116,8 +122,9 @@ def error_class(parsed: Column, timed_out: Column, log: Column) -> Column:
     return F.when(~F.coalesce(parsed, F.lit(False)), "syntax").when(timed_out, "timeout").when(has("deadlock"), "deadlock").when(has("invariant") & has("violated"), "invariant_violation").when(has("not enumerable", "cannot enumerate", "overflow"), "unbounded_state").when(has("undefined", "unknown operator"), "undefined_op").otherwise("other")
 
 
-def model_class(model: Column) -> Column:
-    return F.when(model.startswith("ft"), "fine_tuned").when(model.startswith("base"), "base").otherwise("other")
+def model_class(model: Column, tuned: str, base: str = "gpt-oss") -> Column:
+    """fine-tuned or base by the name before the colon, else general."""
+    return F.when(model.startswith(f"{tuned}:"), "fine-tuned").when(model.startswith(f"{base}:"), "base").otherwise("general")
 
 
 def wilson(k: Column, n: Column) -> Column:

@@ -81,6 +81,35 @@ def mutated(df: DataFrame, id_: str, spec: str, k: int = 2, seed: str = "42") ->
     return df.select(id_, spec, F.explode(names).alias("mutator")).select(id_, "mutator", broken.alias("broken"), s.alias("fixed")).filter("broken <> fixed")
 
 
+# Seven syntax errors to repair, by name: pattern and replacement of its first place (every place for remove_closing).
+SYNTAX_ERRORS = {
+    "remove_closing": ("====", ""),
+    "double_prime": (r"(\w)'(\s)", "$2''$3"),
+    "remove_extends": (r"(?m:^)EXTENDS\s+.*(?m:$)", ""),
+    "bad_keyword": ("VARIABLES", "VAR"),
+    "pluscal_leak": ("Init ==", "begin\nInit =="),
+    "bad_unchanged": (r"UNCHANGED\s*<<([^>]+)>>", "UNCHANGED $2"),
+    "const_equals": (r"(?m:^)(CONSTANTS?\s+\w+)\s*(?m:$)", "$2 = 5"),
+}
+
+
+def with_syntax_error(spec: Column, name: str) -> Column:
+    pattern, new = SYNTAX_ERRORS[name]
+    if name == "remove_closing":
+        return F.replace(spec, F.lit(pattern), F.lit(new))
+    return F.regexp_replace(spec, rf"(?s)\A(.*?)(?-s:{pattern})", f"$1{new}")
+
+
+def syntax_repairs(df: DataFrame, id_: str, spec: str, k: int = 2, seed: str = "42") -> DataFrame:
+    """id, mutation, broken, fixed, messages: k of the errors a row in hash order, without those that change nothing; none for texts under ten lines."""
+    s = strip(F.col(spec))
+    names = choose(F.array(*map(F.lit, SYNTAX_ERRORS)), F.col(id_), k, seed)
+    broken = F.coalesce(*[F.when(F.col("mutation") == n, with_syntax_error(F.col("fixed"), n)) for n in SYNTAX_ERRORS])
+    rows = df.select(id_, s.alias("fixed"), F.explode(names).alias("mutation")).filter(F.size(F.split("fixed", "\n")) >= 10)
+    error = F.concat(F.lit("parse error after the mutation "), F.col("mutation"))
+    return rows.withColumn("broken", broken).filter(strip(F.col("broken")) != F.col("fixed")).select(id_, "mutation", "broken", "fixed", bug_fix(F.col("broken"), error, F.col("fixed")).alias("messages"))
+
+
 def variant(spec: Column, renames: dict[str, str], suffix: str = "Variant") -> Column:
     """The module under another name, with identifiers renamed."""
     for old, new in renames.items():

@@ -128,14 +128,14 @@ def timeline_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(f"""
-WITH {DAYS}, w AS (SELECT *, sum(good) OVER w5 AS g5, sum(n) OVER w5 AS n5, avg(coalesce(good / nullif(errors, 0), 0)) OVER w5 AS ratios FROM days WINDOW w5 AS (ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+WITH {DAYS}, w AS (SELECT *, sum(good) OVER w5 AS g5, sum(n) OVER w5 AS n5, avg(coalesce(good / nullif(errors, 0), 0)) OVER w50 AS ratios FROM days WINDOW w5 AS (ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w50 AS (ORDER BY day ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
 SELECT day, round(g5 / n5, 6) AS rolling_rate, round(ratios, 6) AS mean_of_ratios, CASE WHEN g5 / n5 >= 0.8 THEN 5 WHEN g5 / n5 >= 0.6 THEN 4 WHEN g5 / n5 >= 0.4 THEN 3 ELSE 2 END AS cap FROM w
 """)
 def rolling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratio of sums and mean of ratios (no value for a division by zero counts 0) over the last five rows, and the difficulty cap they allow."""
+    """Ratio of sums over the last five rows and the difficulty cap it allows; mean of ratios (no value for a division by zero counts 0) over the last fifty."""
     w = by_day().rowsBetween(-4, 0)
     rate = F.sum("good").over(w) / F.sum("n").over(w)
-    ratios = F.avg(F.coalesce(F.col("good") / F.nullif(F.col("errors"), F.lit(0)), F.lit(0.0))).over(w)
+    ratios = F.avg(F.coalesce(F.col("good") / F.nullif(F.col("errors"), F.lit(0)), F.lit(0.0))).over(by_day().rowsBetween(-49, 0))
     return days(spark, sf_dir).select("day", F.round(rate, 6).alias("rolling_rate"), F.round(ratios, 6).alias("mean_of_ratios"), scores.difficulty_cap(rate, F.lit(1.0)).alias("cap"))
 
 

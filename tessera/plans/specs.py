@@ -57,7 +57,7 @@ N_LINES = "len(string_split(spec, chr(10)))"
 
 @registry.add(f"""
 WITH {S}, f AS (SELECT *, {RICH} AS rich, {N_LINES} AS n FROM s),
-r AS (SELECT *, CASE WHEN n BETWEEN 50 AND 500 THEN 2 WHEN n BETWEEN 20 AND 49 OR n BETWEEN 501 AND 1000 THEN 1 ELSE 0 END + {_any(r'[(][*]|[\\][*]')} + 2 * {_any(r'(?m)^\s*(Inv|TypeOK|TypeInv|Safety)\w*\s*==|INVARIANT')} + {_any(r'(?m)(ENABLED|<>|^\[\]|~>|WF_|SF_)')}
+r AS (SELECT *, CASE WHEN n BETWEEN 50 AND 500 THEN 2 WHEN n BETWEEN 20 AND 49 OR n BETWEEN 501 AND 1000 THEN 1 ELSE 0 END + {_any(r'[(][*]|[\\][*]')} + 2 * {_any(scores.INVARIANT_PATTERN)} + {_any(r'(?m)(ENABLED|<>|^\[\]|~>|WF_|SF_)')}
   + CASE WHEN rich >= 5 THEN 2 WHEN rich >= 2 THEN 1 ELSE 0 END + {_any("[a-zA-Z_][a-zA-Z0-9_]*'")} + {_any(r'[\\]E\s|[\\]A\s|∃|∀')} AS raw FROM f)
 SELECT id, rich AS operator_richness, n AS line_count, raw AS raw_score, greatest(1, least(5, round_even(raw / 2.0, 0)))::INT AS overall, round(({STRUCTURE}) / 8.0, 6) AS structure,
   round(({COMPLEX} + CASE WHEN n > 40 THEN 1 ELSE 0 END + CASE WHEN n > 60 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(spec, '(?m)^\\w+\\s*==')) >= 6 THEN 1 ELSE 0 END) / 10.0, 6) AS complexity FROM r
@@ -75,7 +75,7 @@ DEFS = r"regexp_extract_all(spec, '(?m)^(\w+)\s*(?:\([^)\n]*\))?\s*==', 1)"
 WITH {S}, d AS (SELECT id, {DEFS} AS defs, spec, regexp_extract(spec, '----\\s*MODULE\\s+(\\w+)\\s*----', 1) AS name, list_transform(string_split(regexp_extract(spec, '(?m)^EXTENDS[ \\t]+([^\\n]*)', 1), ','), lambda x: trim(x)) AS parents FROM s)
 SELECT id, name, array_to_string(parents, ',') AS parents, array_to_string(defs, ',') AS defs, len(defs) <> len(list_distinct(defs)) AS duplicated, name LIKE 'MC%' AND len(name) >= 4 AS shim,
   coalesce(array_to_string(list_filter(parents, lambda p: p LIKE 'Core%'), ','), '') AS missing,
-  array_to_string(list_filter(defs, lambda n: regexp_matches(n, '^(TypeOK|TypeInvariant|Inv|Safety|Mutex|MutualExclusion)|Inv$|Invariant$|Safety$')), ',') AS invariants,
+  array_to_string(regexp_extract_all(spec, '(?m)^(\\w+Inv(?:ariant)?|TypeOK|Safety\\w*)\\s*==', 1), ',') AS invariants,
   len(list_filter(string_split(spec, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '\\*') AND NOT starts_with(trim(x), '(*'))) AS code_lines
 FROM d
 """)
@@ -194,4 +194,4 @@ def module_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checker configurations, harness parts, type guesses."""
     s = F.col("spec")
     carved = modules.carve(s)
-    return spec_table(spark, sf_dir).select("id", modules.checker_config(s).alias("config"), modules.notes(s).alias("notes"), F.array_join(F.transform(modules.variables(s), modules.guessed_type), ",").alias("types"), (F.concat(carved["prefix"], carved["removed"], carved["suffix"]) == s).alias("whole"), modules.trivial_invariant(s, F.array(F.lit("Inv"))).alias("trivial"))
+    return spec_table(spark, sf_dir).select("id", modules.checker_config(s).alias("config"), modules.nondeterminism(s, modules.body(s, "Next")).alias("choices"), modules.fairness(s, modules.body(s, "Spec")).alias("fairness"), F.array_join(F.transform(modules.variables(s), modules.guessed_type), ",").alias("types"), (F.concat(carved["prefix"], carved["removed"], carved["suffix"]) == s).alias("whole"), modules.trivial_invariant(s, F.array(F.lit("Inv"))).alias("trivial"))
