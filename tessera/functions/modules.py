@@ -68,7 +68,7 @@ def context_notice(text: Column) -> Column:
 
 def code_lines(text: Column) -> Column:
     """Lines that aren't blank and don't begin with a comment."""
-    return F.size(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda line: (line != "") & ~line.startswith("\\*") & ~line.startswith("(*")))
+    return F.size(F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line)), lambda line: (line != "") & ~line.startswith("\\*") & ~line.startswith("(*")))
 
 
 def is_shim(text: Column, name: Column | None = None) -> Column:
