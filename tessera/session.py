@@ -22,7 +22,7 @@ def session(name: str = "tessera", master: str | None = None, **conf: object) ->
 
 
 #: Arrow batches that go to Python: so many rows or bytes at most, as texts may be long. Settings of the application's own stay.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> SparkSession:
