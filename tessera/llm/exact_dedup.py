@@ -37,7 +37,7 @@ PARTITION_BYTES, SAMPLES, SAMPLE_BYTES = 48 << 20, 24, 48 << 20
 #: What a row weighs besides its text.
 ROW_BYTES = 64
 #: Bytes of text of an output batch of the first pass.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 
 _LEAST = -(1 << 63)
 _RUNS = "doc_id long, keep_id long, group_size long, text_sha256 string, first boolean, part int, edge int, edge_text binary"
@@ -107,6 +107,7 @@ def _sorted(rows: DataFrame, keep_text: bool = False) -> tuple[DataFrame, list[S
                     further = [c.slice(start, len(norms)) for c in (doc_id, *batch.columns[after:])]
                     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(norms, pa.binary()), pa.array(size, pa.int64()), *further], ["pid", "norm", "size", "doc_id", *batch.schema.names[after:]])
                     norms, parts, start, held = [], [], i + 1, 0
+        pa.default_memory_pool().release_unused()
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[after:])
     dealt = rows.mapInArrow(run, f"pid int, norm binary, size long, doc_id long{kinds}")
