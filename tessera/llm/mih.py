@@ -181,7 +181,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     last, slack = learn_probing(sample, encode(sample, rotations), k, bits)
     # Queries that have one vector are asked once; every id gets the answers, its own aside.
     query = checkpointed(asked.select("v").distinct().withColumn("query", F.xxhash64("v")))
-    blocks = max(1, -(-query.count() // BLOCK_ROWS))
+    # Few shards leave cores idle: then more blocks, as many as there are cores.
+    asking = query.count()
+    blocks = max(1, -(-asking // BLOCK_ROWS), min(spark.sparkContext.defaultParallelism // shards, -(-asking // 128)))
     shared = spark.sparkContext.broadcast((rotations, bits, last, slack))
 
     def probe(key: tuple, index_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
