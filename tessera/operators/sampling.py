@@ -69,7 +69,9 @@ def batches(df: DataFrame, order: str, size: int, group: str | None = None) -> D
     if group:
         n = F.row_number().over(Window.partitionBy(group).orderBy(order))
         return df.withColumn("batch_id", F.floor((n - 1) / size))
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    # So many partitions by name: AQE leaves them as they are, so both branches below see the same ones.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__first", "__before")
     return ranged.join(F.broadcast(before), "__part").withColumn("batch_id", F.floor((F.col("__before") + F.col("__row") - F.col("__first")) / size)).drop("__part", "__row", "__first", "__before")
