@@ -114,20 +114,32 @@ def loss(x: np.ndarray, sentence: np.ndarray, word: np.ndarray, per_text: np.nda
     return float(value), np.r_[np.bincount(word, weights=dz[sentence], minlength=len(x) - 1), dz.sum()]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of x, ascending; x itself is sorted."""
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def train(word: np.ndarray, per_sentence: np.ndarray, per_text: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the buckets and the sentence bias that make the documents' labels likeliest, by full-batch Adam steps."""
     weights, share = np.zeros(BUCKETS), float(label.mean()) if len(label) else 0.0
     if share in (0.0, 1.0):
         return weights, share
-    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
     doc = np.repeat(np.arange(len(per_text)), per_text)
-    # A word counts once a sentence, and only if enough documents have it.
-    pair = sorted_distinct(sentence.astype(np.int64) * BUCKETS + word)
-    sentence, word = pair // BUCKETS, pair % BUCKETS
-    in_doc = sorted_distinct(doc[sentence].astype(np.int64) * BUCKETS + word)
-    of, which = in_doc // BUCKETS, in_doc % BUCKETS
-    seen = np.bincount(which, minlength=BUCKETS)
-    toxic = np.bincount(which, weights=label[of], minlength=BUCKETS)
+    # A word counts once a sentence, and only if enough documents have it. Large arrays are sorted in place and let go early.
+    pair = np.repeat(np.arange(len(per_sentence)), per_sentence)
+    pair *= BUCKETS
+    pair += word
+    pair = _distinct(pair)
+    sentence, word = (pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32)
+    del pair
+    in_doc = doc[sentence]
+    in_doc *= BUCKETS
+    in_doc += word
+    in_doc = _distinct(in_doc)
+    seen = np.bincount(in_doc % BUCKETS, minlength=BUCKETS)
+    toxic = np.bincount(in_doc[label[in_doc // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS)
+    del in_doc
     # From the smoothed log odds of a document with the word, so that a few steps do.
     rate = (toxic + 2 * share) / (seen + 2)
     w = np.clip(np.log(rate / (1 - np.minimum(rate, 0.999))) - np.log(share / (1 - share)), -3, 6)
