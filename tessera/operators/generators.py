@@ -45,6 +45,66 @@ def tasks(df: DataFrame, id_: str, description: str, spec: str) -> DataFrame:
     return df.select(id_, F.explode(rows).alias("t")).select(id_, "t.task", "t.messages")
 
 
+# What invariants are called, words that stay whole, and the head of the list of properties.
+PROPERTY = r"^(?:TypeOK$|Safety|.*Inv(?:ariant)?$|Mutex|MutualExclusion|Conservation|Bounded|NoOverflow|NoUnderflow|AtMost|NoWrite|Valid|.*Conserved|.*Bounded|.*Stable|.*Threshold)"
+NOT_PROPERTIES = ("Init", "Next", "Spec", "vars")
+ACRONYMS = ("OK", "ID", "FIFO", "LIFO", "ACK", "NACK", "RPC")
+PROPERTIES_HEAD = "**Required properties for this system:**\n"
+
+
+def section(spec: Column, name: str) -> Column:
+    """The first definition of the name with its lines up to the next definition at the start of a line or the end bar, without blank and comment lines at its end; null if there is none."""
+    block = F.regexp_extract(spec, rf"(?s)(?:\A|\n)([^\S\n]*{name}[^\S\n]*==.*?)(?=\n[A-Za-z_]\w*[^\S\n]*==|\n={{4,}}|\z)", 1)
+    lines = F.split(block, "\n")
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*(?:\z|\\\*|\(\*)"), 0).otherwise(i + 1)))
+    return F.when(block != "", F.array_join(F.slice(lines, F.lit(1), last), "\n"))
+
+
+def _readable(name: Column) -> Column:
+    """A name's words, apart; acronyms that were cut in two are joined again."""
+
+    def add(words: Column, word: Column) -> Column:
+        joined = F.concat(F.try_element_at(words, F.lit(-1)), word)
+        return F.when(F.coalesce(joined.isin(*ACRONYMS), F.lit(False)), F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(joined))).otherwise(F.concat(words, F.array(word)))
+
+    words = F.regexp_extract_all(name, F.lit("[A-Z]+(?=[A-Z][a-z])|[A-Z][a-z]*|[a-z]+"), F.lit(0))
+    return F.when(F.size(words) == 0, name).otherwise(F.array_join(F.aggregate(words, F.array().cast("array<string>"), add), " "))
+
+
+def properties(spec: Column) -> Column:
+    """A list of the module's invariants in words; null if it has none."""
+    names = F.filter(F.regexp_extract_all(spec, F.lit(r"(?m)^\s*(\w+)\s*=="), F.lit(1)), lambda n: n.rlike(PROPERTY) & ~n.isin(*NOT_PROPERTIES))
+    lines = F.transform(names, lambda n: F.concat(F.lit("- `"), n, F.lit("` \u2014 "), _readable(n)))
+    return F.when(F.size(names) > 0, F.array_join(F.concat(F.array(F.lit(PROPERTIES_HEAD)), lines), "\n"))
+
+
+def multitask(df: DataFrame, id_: str, description: str, spec: str) -> DataFrame:
+    """id, task, messages: the whole module, its rest after Init, its Next, its Init from the declarations, and its properties.
+
+    Tasks that a module lacks the parts for are left out, and so are rows whose description or text
+    is null or blank. Of rows with the same id, task and answer the one of the smallest prompt stays.
+    """
+    s, d = F.col("spec"), F.col("description")
+    init, step, typed = section(s, "Init"), section(s, "Next"), section(s, "TypeOK")
+    to_init = F.position(init, s) + F.length(init) - 1
+    rest = strip(F.substring(s, to_init + 1, F.length(s)))
+    at = F.position(step, s)
+    masked = F.concat(F.substring(s, F.lit(1), at - 1), F.lit("Next == \\* TODO: fill in transition relation"), F.substring(s, at + F.length(step), F.length(s)))
+    declared = strip(F.nullif(F.regexp_extract(s, r"(?md)^\s*VARIABLES?\s+.+$", 0), F.lit("")))
+    fixed = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"(?md)^\s*CONSTANTS?\s+.+$"), F.lit(0)), lambda x: F.concat(strip(x), F.lit("\n"))), "")
+    kinds = {
+        "full_gen": (F.concat(F.lit("Write a specification of this system.\n\n"), d), strip(s)),
+        "completion": (F.concat(F.lit("Add what is missing after Init.\n\n"), d, F.lit("\n\n"), F.substring(s, F.lit(1), to_init)), F.when(F.contains(rest, F.lit("Next")), rest)),
+        "infill_next": (F.concat(F.lit("Write the missing Next.\n\n"), d, F.lit("\n\n"), masked), step),
+        "segment_init": (F.concat(F.lit("Write an Init that satisfies TypeOK.\n\n"), d, F.lit("\n\n"), fixed, declared, F.lit("\n\n"), typed), init),
+        "req_analysis": (F.concat(F.lit("List the properties that this system must have.\n\n"), d), properties(s)),
+    }
+    rows = F.array_compact(F.array(*[F.when(F.concat(ask, answer).isNotNull(), F.struct(F.lit(k).alias("task"), answer.alias("answer"), ask.alias("ask"))) for k, (ask, answer) in kinds.items()]))
+    whole = df.select(F.col(id_).alias("id"), F.col(description).alias("description"), F.col(spec).alias("spec")).filter((strip(d) != "") & (strip(s) != ""))
+    best = whole.select("id", F.explode(rows).alias("t")).groupBy("id", "t.task", "t.answer").agg(F.min("t.ask").alias("ask"))
+    return best.select(F.col("id").alias(id_), "task", _chat(message("user", F.col("ask")), message("assistant", F.col("answer"), "final")).alias("messages"))
+
+
 STAGES = ("header", "TypeOK", "Init", "Next", "Spec")
 
 

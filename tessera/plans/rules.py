@@ -118,6 +118,30 @@ def row_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+SHORT = "VARIABLE q\nTypeOK == q \\in Nat\n\n\\* start\nInit == q = 0\n  /\\ TRUE\n\n\\* step\n(* more *)\nNext == q' = q\n\n==== \n\\* tail"
+
+
+def _sql(text: str) -> str:
+    return "'" + text.strip().replace("\n", "|").replace("'", "''") + "'"
+
+
+@registry.add(rf"""SELECT * FROM (VALUES
+  (1, 'full_gen', {_sql(LONG)}), (2, 'full_gen', {_sql(MODULES[1][1])}), (3, 'full_gen', {_sql(MODULES[2][1])}), (5, 'full_gen', {_sql(SHORT)}),
+  (1, 'completion', 'Next == \E p \in Node : seen'' = seen + 1 \/ UNCHANGED seen|Spec == Init /\ [][Next]_seen /\ WF_seen(Next)|===='),
+  (1, 'infill_next', 'Next == \E p \in Node : seen'' = seen + 1 \/ UNCHANGED seen'),
+  (1, 'segment_init', 'Init == seen = 0'),
+  (1, 'req_analysis', '**Required properties for this system:**||- `TypeOK` — Type OK|- `MyInv` — My Inv|- `safetyInvariant` — safety Invariant'),
+  (5, 'completion', '\* step|(* more *)|Next == q'' = q||==== |\* tail'),
+  (5, 'infill_next', 'Next == q'' = q'),
+  (5, 'segment_init', 'Init == q = 0|  /\ TRUE'),
+  (5, 'req_analysis', '**Required properties for this system:**||- `TypeOK` — Type OK')) t(id, task, answer)""")
+def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module's rows of five task types. Comments before a definition belong to it; repeated rows count once, rows without a description give none."""
+    more = [(5, SHORT, "a queue"), (5, SHORT, "a queue"), (6, SHORT, None), (7, SHORT, " ")]
+    rows = spark.createDataFrame([(i, s, "a queue") for i, s, _ in MODULES] + more, "id int, spec string, description string")
+    return generators.multitask(rows, "id", "description", "spec").select("id", "task", F.replace(F.col("messages")[1]["content"], F.lit("\n"), F.lit("|")).alias("answer"))
+
+
 @registry.add("SELECT * FROM (VALUES (1, 'bad_keyword', -6, true), (1, 'double_prime', 1, true), (1, 'pluscal_leak', 6, true), (1, 'remove_closing', -4, true), (1, 'remove_extends', -16, true)) t(id, mutation, longer, messaged)")
 def syntax_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven syntax errors tried on each module: what changes a text becomes a repair row, short modules give none."""
