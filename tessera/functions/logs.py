@@ -69,13 +69,34 @@ def bounded_result(log: Column) -> Column:
     return F.struct(outcome.alias("outcome"), F.when(outcome == "error", F.slice(told, 1, 5)).otherwise(F.array().cast("array<string>")).alias("errors"))
 
 
-def feedback(log: Column, trace_lines: int = 20, errors: int = 3) -> Column:
-    """What a writer can act on: violations, the first evaluation errors, the head of the trace, a hint."""
+# The wording of feedback.
+NOT_ENUMERABLE = "FIX: State space is not enumerable. Use finite sets and bounded constants. Replace Int with a bounded range like 0..N, replace SUBSET with explicit enumeration."
+NOT_ASSIGNED = "FIX: A CONSTANT is declared but not assigned a value in the .cfg file. Either remove the CONSTANT or provide a default value."
+TRACE = "STATE TRACE (the execution that led to the violation):"
+
+
+def trace(log: Column, most: int = 20) -> Column:
+    """Steps and states of the behaviour that led to a violation: from the line that announces it to the count of states."""
     rows = _lines(log)
-    trace = F.slice(F.filter(rows, lambda line: line.rlike(r"^(State \d+:|/\\)")), 1, trace_lines)
-    evaluation = F.slice(F.filter(rows, lambda line: line.rlike("(?i)evaluating|not enumerable|undefined")), 1, errors)
-    hint = F.when(log.rlike("(?i)deadlock"), "Some state has no successor: add a terminating step.").when(log.rlike("(?i)not enumerable"), "A set can't be enumerated: give it bounds.")
-    return F.array_join(F.concat(F.slice(violations(log), 1, errors), evaluation, trace, F.array_compact(F.array(hint))), "\n")
+    begin = F.array_position(F.transform(rows, lambda line: F.contains(F.lower(line), F.lit("behavior up to this point"))), F.lit(True)).cast("int")
+    after = F.slice(rows, begin + 1, F.size(rows))
+    end = F.array_position(F.transform(after, lambda line: line.rlike(r"^\d+ state")), F.lit(True)).cast("int")
+    shown = F.filter(F.when(end > 0, F.slice(after, F.lit(1), end - 1)).otherwise(after), lambda line: line.startswith("/\\") | line.startswith("State ") | line.startswith("->"))
+    return F.when(begin > 0, F.slice(shown, 1, most)).otherwise(F.array().cast("array<string>"))
+
+
+def feedback(log: Column, found: Column) -> Column:
+    """What a writer can act on, a line each: the invariant violated, the trace, other errors among those found, evaluation errors, and what to do; empty without log and errors."""
+    log, steps = F.coalesce(log, F.lit("")), trace(log)
+    broken = F.regexp_extract(log, r"(?i)Invariant (\w+) is violated", 1)
+    first = F.when(broken != "", F.array(F.concat(F.lit("INVARIANT VIOLATION: "), broken, F.lit(" was violated."))))
+    states = F.when(F.size(steps) > 0, F.concat(F.array(F.lit(TRACE)), F.transform(steps, lambda s: F.concat(F.lit("  "), s))))
+    other = F.transform(F.filter(found, lambda v: ~F.contains(F.lower(v), F.lit("violated")) & F.contains(F.lower(v), F.lit("error"))), lambda v: F.concat(F.lit("TLC ERROR: "), v))
+    evaluating = F.transform(F.slice(F.regexp_extract_all(log, F.lit(r"(?s)Error evaluating.*?(?=\n\n|\z)"), F.lit(0)), 1, 3), lambda e: F.concat(F.lit("EVALUATION ERROR: "), F.substring(F.trim(e), 1, 200)))
+    low = F.lower(log)
+    advice = F.array_compact(F.array(F.when(F.contains(low, F.lit("not enumerable")) | F.contains(low, F.lit("cannot enumerate")), NOT_ENUMERABLE), F.when(F.contains(log, F.lit("CONSTANT")) & F.contains(low, F.lit("is not assigned")), NOT_ASSIGNED)))
+    none = F.array().cast("array<string>")
+    return F.array_join(F.concat(F.coalesce(first, none), F.coalesce(states, none), other, evaluating, advice), "\n")
 
 
 def hints(errors: Column) -> Column:

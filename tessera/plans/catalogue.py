@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, chat, corpus, files, pages, records, rules, specs, streams
+from . import analytics, chat, corpus, files, pages, records, rules, specs, streams, training
 from .registry import Query
 
-_MODULES = (corpus, chat, pages, specs, rules, records, analytics, files, streams)
+_MODULES = (corpus, chat, pages, specs, rules, records, analytics, files, streams, training)
 
 
 def queries() -> dict[str, Query]:
