@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import scores, text
-from ..operators import dedup, ranking, retrieval, sampling
+from ..operators import dedup, ranking, retrieval, sampling, selection
 from .registry import Registry, table
 
 registry = Registry()
@@ -49,7 +50,7 @@ def seed_anchored_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seed_anchored_dedup with near copies: the seed's contents, and the rows that an in-order filter keeps after it."""
     docs = table(spark, sf_dir, "documents")
     seed, rest = docs.filter("source = 'src0'"), docs.filter("source <> 'src0'")
-    kept = rest.join(dedup.seed_anchored_near(seed, rest, _checkpoint), "doc_id", "left_semi")
+    kept = rest.join(dedup.seed_anchored_near(seed, rest, checkpointed), "doc_id", "left_semi")
     anchor = dedup.exact_first(seed)
     return anchor.select("doc_id", "source", F.lit(True).alias("from_seed")).union(kept.select("doc_id", "source", F.lit(False)))
 
@@ -79,23 +80,13 @@ def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def near_dup_online_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents an in-order filter keeps: not linked to any kept before. Rows of one token set follow their first."""
-    checkpoint = lambda df: _checkpoint(df)
     docs = dedup.exact_first(table(spark, sf_dir, "documents"))
-    links = checkpoint(dedup.token_links(docs).select("a", "b"))
+    links = checkpointed(dedup.token_links(docs).select("a", "b"))
     sets = docs.select("doc_id", F.sha2(F.array_join(F.array_sort(text.token_set(F.col("text"))), "\x00"), 256).alias("digest"), (words() > 0).alias("full"))
-    first = checkpoint(sets.groupBy("digest", F.when(F.col("full"), 0).otherwise(F.col("doc_id")).alias("own")).agg(F.min("doc_id").alias("id")).select("id"))
+    first = checkpointed(sets.groupBy("digest", F.when(F.col("full"), 0).otherwise(F.col("doc_id")).alias("own")).agg(F.min("doc_id").alias("id")).select("id"))
     linked = first.join(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "id", "left_semi")
     free = first.join(linked, "id", "left_anti")
-    return dedup.online_keep(linked, links, checkpoint).filter("kept").select(F.col("id").alias("doc_id")).union(free)
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    return dedup.online_keep(linked, links, checkpointed).filter("kept").select(F.col("id").alias("doc_id")).union(free)
 
 
 @registry.add()
@@ -308,12 +299,15 @@ WITH s AS (SELECT lang, list_sort(list(n_chars)) AS v, min(n_chars) AS lo, max(n
 SELECT lang, lo, hi, mean, v[len(v) // 2 + 1] AS upper_median, p50, v[floor(0.9 * len(v))::INT + 1] AS p90 FROM s
 """)
 def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Min, max, mean, upper median (sorted[n // 2]), interpolated median and sorted[int(0.9 n)]. Values are ranked by windows of a narrow table, not gathered in an array."""
-    w = Window.partitionBy("lang").orderBy("n_chars")
-    n = F.count(F.lit(1)).over(Window.partitionBy("lang"))
-    d = table(spark, sf_dir, "documents").select("lang", "n_chars").withColumn("rn", F.row_number().over(w)).withColumn("n", n)
-    at = lambda i: F.max(F.when(F.col("rn") == i + 1, F.col("n_chars")))
-    return d.groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.avg("n_chars"), 4).alias("mean"), at(F.expr("n div 2")).alias("upper_median"), F.percentile("n_chars", F.lit(0.5)).alias("p50"), at(F.floor(0.9 * F.col("n"))).alias("p90"))
+    """Min, max, mean, upper median (sorted[n // 2]), interpolated median and sorted[int(0.9 n)]: ranks selected exactly, no language's rows are ranked or gathered in one task."""
+    d = table(spark, sf_dir, "documents").select("lang", "n_chars")
+    places = lambda n: (F.floor(n / 2) + 1, F.floor((n - 1) / 2) + 1, F.floor(0.9 * n) + 1)  # noqa: E731  upper median, lower median, p90
+    found = selection.at_ranks(d, [F.col("lang")], selection.order_key(F.col("n_chars")), 16, lambda n: F.array(*places(n)))
+    value = selection.from_order_key(F.col("key"))
+    upper, lower, p90 = (F.max(F.when(F.col("rank") == p, value)) for p in places(F.col("n")))
+    ranks = found.groupBy("group").agg(upper.alias("upper_median"), ((upper + lower) / 2).alias("p50"), p90.alias("p90"))
+    whole = d.groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.avg("n_chars"), 4).alias("mean")).withColumn("group", selection.group_key([F.col("lang")]))
+    return whole.join(ranks, "group").select("lang", "lo", "hi", "mean", "upper_median", "p50", "p90")
 
 
 RAW_TERMS = r"regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]+')"
@@ -402,9 +396,10 @@ def curated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     kept = dedup.exact_first(docs).withColumn("reason", reject_reason()).filter("reason = 'kept'").join(toxic, "doc_id", "left_anti")
     leaks = _leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    good = kept.join(leaks, "doc_id", "left_anti").select("doc_id", "source", "lang", "n_chars")
-    rk = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return good.withColumn("rk", rk).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("rk") <= 15).alias("in_quota"))
+    good = checkpointed(kept.join(leaks, "doc_id", "left_anti").select("doc_id", "source", "lang", "n_chars"))
+    longest_first = F.concat(selection.order_key(-F.col("n_chars")), selection.order_key(F.col("doc_id")))
+    ranked = selection.first_of_groups(good, [F.col("source")], longest_first, 32, lambda n: F.lit(15), "in_quota")
+    return ranked.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if("in_quota").alias("in_quota"))
 
 
 @registry.add("SELECT doc_id FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 50")

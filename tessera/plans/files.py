@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import scratch_path
 from ..operators import verify
 from ..sources import files, sinks
 from .registry import Registry, table
@@ -15,17 +13,9 @@ from .registry import Registry, table
 registry = Registry()
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 @registry.add("SELECT item_id, text, length(text) AS n FROM benchmark")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "json")
+    path = scratch_path(spark, "json")
     sinks.json_overwrite(table(spark, sf_dir, "benchmark"), path)
     return files.json_lines(spark, path, "item_id long, text string").select("item_id", "text", F.length("text").alias("n"))
 
@@ -33,7 +23,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("SELECT count(*) AS good, 3 AS bad, count(item_id) AS filled FROM benchmark")
 def json_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good and malformed lines of a tolerant scan."""
-    path = _folder(spark, "malformed")
+    path = scratch_path(spark, "malformed")
     good = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id", "text")).alias("value"))
     good.union(spark.createDataFrame([("{",), ("no json",), ('{"item_id": ',)], "value string")).write.text(path)
     return files.malformed(files.json_lines(spark, path, "item_id long, text string", bad="keep"))
@@ -42,7 +32,7 @@ def json_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("SELECT conv_id::INT AS conv_id, turn::INT AS turn, role, text FROM conversations WHERE conv_id % 7 <> 0")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV with quotes and line ends in fields; rows with a bad integer are left out."""
-    path = _folder(spark, "csv")
+    path = scratch_path(spark, "csv")
     c = table(spark, sf_dir, "conversations").withColumn("conv_id", F.when(F.col("conv_id") % 7 == 0, "bad").otherwise(F.col("conv_id").cast("string")))
     sinks.csv(c, path, ["conv_id", "turn", "role", "text"])
     return files.typed(files.csv_strings(spark, path, ["conv_id", "turn", "role", "text"]), ["conv_id", "turn"]).select("conv_id", "turn", "role", "text")
@@ -50,7 +40,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' ELSE 'rejected' END AS route FROM labels")
 def routed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "routed")
+    path = scratch_path(spark, "routed")
     sinks.routed(verify.routed(table(spark, sf_dir, "labels"), (F.col("quality") == 1) & (F.col("toxic") == 0)), path)
     return spark.read.parquet(path).select("doc_id", "route")
 
@@ -58,7 +48,7 @@ def routed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("SELECT r_name AS domain, n_name AS topic FROM nation JOIN region ON n_regionkey = r_regionkey")
 def nested_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An array of structs of arrays, written as a document and taken apart again."""
-    path = _folder(spark, "topics")
+    path = scratch_path(spark, "topics")
     j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     groups = j.groupBy(F.col("r_name").alias("domain")).agg(F.collect_list("n_name").alias("topics"))
     groups.agg(F.collect_list(F.struct("domain", "topics")).alias("batches")).coalesce(1).write.json(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..checkpoints import checkpointed
 from ..functions.text import content_id
 
 
@@ -40,7 +41,6 @@ def dedup_against(kept_path: str, text: str = "text", position: str = "doc_id",
 
     def step(batch: DataFrame, _: int) -> None:
         from ..operators.dedup import exact_first, seed_anchored_near
-        from ..plans.corpus import _checkpoint
 
         spark = batch.sparkSession
         fresh = exact_first(batch, text, position).withColumn("content_id", content_id(F.col(text)))
@@ -49,7 +49,7 @@ def dedup_against(kept_path: str, text: str = "text", position: str = "doc_id",
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
             kept = spark.read.parquet(kept_path)
             fresh = fresh.join(kept.select("content_id"), "content_id", "left_anti")
-        fresh = fresh.join(seed_anchored_near(kept, fresh, _checkpoint, threshold, text, position), position, "left_semi")
+        fresh = fresh.join(seed_anchored_near(kept, fresh, checkpointed, threshold, text, position), position, "left_semi")
         fresh.write.mode("append").parquet(kept_path)
 
     return step
