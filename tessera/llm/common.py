@@ -127,10 +127,10 @@ def fresh_name(df: DataFrame, base: str) -> str:
 
 
 def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs whose id is in the column `id` of ids (null is an id), and one of those that have the same id and the same text. Texts are shuffled once: the window's keys start with the join's."""
-    row, missing, known = (fresh_name(docs, x) for x in ("row", "missing", "known"))
+    """Rows of docs whose id and hash of the text are a row (id, text_hash) of ids (null is an id), and one of those that have the same id and text. Texts are shuffled once: the window's keys start with the join's."""
+    row, missing, known, text_hash = (fresh_name(docs, x) for x in ("row", "missing", "known", "text_hash"))
     own = F.col(id_col).cast("long")
-    keyed = docs.withColumns({missing: own.isNull(), known: F.coalesce(own, F.lit(0))})
-    wanted = ids.select(F.col("id").isNull().alias(missing), F.coalesce("id", F.lit(0)).cast("long").alias(known))
-    w = Window.partitionBy(missing, known, F.xxhash64(F.col(text_col)), F.col(text_col)).orderBy(F.lit(0))
-    return keyed.join(wanted, [missing, known], "left_semi").withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({missing: own.isNull(), known: F.coalesce(own, F.lit(0)), text_hash: F.xxhash64(F.col(text_col).cast("string"))})
+    wanted = ids.select(F.col("id").isNull().alias(missing), F.coalesce("id", F.lit(0)).cast("long").alias(known), F.col("text_hash").alias(text_hash))
+    w = Window.partitionBy(missing, known, text_hash, F.col(text_col)).orderBy(F.lit(0))
+    return keyed.join(wanted, [missing, known, text_hash], "left_semi").withColumn(row, F.row_number().over(w)).filter(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

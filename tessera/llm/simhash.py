@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, join_hot, rows_with_ids
+from .common import HOT_KEYS, checkpointed, join_hot, rows_with_ids
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -61,14 +61,14 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, fp (the 64 bits as a signed long), text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), F.xxhash64(text_col)).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 @lru_cache(1)
@@ -177,9 +177,9 @@ class _Groups:
         return a != b
 
 
-def links_between(home: np.ndarray, sent: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+def links_between(home: np.ndarray, sent: np.ndarray, distance: int = DISTANCE, groups: _Groups | None = None) -> list[tuple[int, int]]:
     """Links of home fingerprints and those sent that join groups anew; the pairs themselves aren't kept."""
-    groups, out = _Groups(), []
+    groups, out = _Groups() if groups is None else groups, []
     step = max(1, (1 << 20) // max(1, len(sent)))
     for a in range(0, len(home), step):
         near = np.bitwise_count(home[a : a + step, None] ^ sent[None]) <= distance
@@ -193,31 +193,37 @@ def links_between(home: np.ndarray, sent: np.ndarray, distance: int = DISTANCE)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and part -> links. Holds the rows of one part of an anchor."""
-    key, homes, sent = None, [], []
+    """Rows sorted by anchor and part, home rows first -> links. Holds a part's home rows (PART and some) and compares what was sent as it comes."""
+    key, homes, home, groups = None, [], None, _Groups()
 
-    def links() -> pa.RecordBatch:
-        found = links_between(np.concatenate(homes), np.concatenate(sent)) if homes else []
-        a, b = (np.array(x, np.uint64).view(np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def links(sent: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = links_between(home, sent, groups=groups)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    def close() -> Iterator[pa.RecordBatch]:
+        """All home rows are there: they meet each other."""
+        nonlocal homes, home
+        if homes and home is None:
+            home = np.concatenate(homes)
+            yield from links(home)
 
     for batch in batches:
-        anchor, part, home, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        anchor, part, own, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         fp = fp.view(np.uint64)
-        cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
+        cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (own[1:] != own[:-1])) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(fp)], strict=True):
             if a == b:
                 continue
             if (anchor[a], part[a]) != key:
-                if key is not None and homes:
-                    yield links()
-                key, homes, sent = (anchor[a], part[a]), [], []
-            own = home[a:b]
-            if own.any():
-                homes.append(fp[a:b][own])
-            sent.append(fp[a:b])
-    if homes:
-        yield links()
+                yield from close()
+                key, homes, home, groups = (anchor[a], part[a]), [], None, _Groups()
+            if own[a]:
+                homes.append(fp[a:b])
+            elif homes:
+                yield from close()
+                yield from links(fp[a:b])
+    yield from close()
 
 
 def fingerprint_links(distinct: DataFrame, part: int = PART, layouts=LAYOUTS) -> DataFrame:
@@ -226,12 +232,13 @@ def fingerprint_links(distinct: DataFrame, part: int = PART, layouts=LAYOUTS) ->
     blocks = [b for least, b in layouts if n >= least][-1]
     sent = distinct.select("fp").mapInArrow(_send(blocks), "anchor long, home boolean, fp long")
     # Anchors with more home rows than a part: at most n * blocks / part of them.
-    hot = distinct.select("fp").mapInArrow(_send_home(blocks), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > part).select("anchor", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    dealt = sent.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hot = checkpointed(distinct.select("fp").mapInArrow(_send_home(blocks), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > part).select("anchor", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    # Their rows stay where they are until they are dealt to parts, as long as the hot anchors are few enough to be broadcast.
+    dealt = sent.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (own == F.col("part")))
     dealt = dealt.select("anchor", "part", "home", "fp")
-    return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_compare, "a long, b long")
+    return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home")).mapInArrow(_compare, "a long, b long")
 
 
 def _send_home(blocks: tuple) -> object:
@@ -245,19 +252,24 @@ def _send_home(blocks: tuple) -> object:
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, layouts=LAYOUTS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable; nulls aside)."""
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
+def _of_prints(prints: DataFrame, part: int = PART, layouts=LAYOUTS) -> DataFrame:
+    """fp, component (a fingerprint that names it), component_id (its smallest id; null if all are)."""
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     parts = components(fingerprint_links(classes, part, layouts))
-    # A component of fingerprints is named by its smallest document.
     named = checkpointed(classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = checkpointed(join_hot(named, least, "component").select("fp", "component_id"))
-    return join_hot(prints, of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return checkpointed(join_hot(named, least, "component").select("fp", "component", "component_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, layouts=LAYOUTS) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable; nulls aside)."""
+    prints = checkpointed(fingerprints(docs, id_col, text_col))
+    return join_hot(prints, _of_prints(prints, part, layouts), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, that of the smallest id, all columns as they were."""
-    stay = near_groups(docs, id_col, text_col).groupBy("component_id").agg(F.min("doc_id").alias("id")).select("id")
-    return rows_with_ids(docs, stay, id_col, text_col)
+    """One row of each component stays, that of the smallest id (null last, then by a hash of the text), all columns as they were."""
+    prints = checkpointed(fingerprints(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    stay = join_hot(prints, _of_prints(prints).select("fp", "component"), "fp").groupBy("component").agg(first)
+    return rows_with_ids(docs, stay.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("text_hash")), id_col, text_col)

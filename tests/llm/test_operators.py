@@ -454,6 +454,17 @@ def test_golay_covers_all_words():
     assert np.isin(x ^ error, words).all()
 
 
+def test_drop_near_copies_of_null_and_repeated_ids(spark):
+    """One row a component, whatever its ids: a component of null ids has one, a null id gives way to another, and rows of one id are told apart by their texts."""
+    a, b, c, d = "a b c d e f g", "one two three four five six", "u v w x y z", "k l m n o p q"
+    rows = [(None, a), (None, a), (5, a), (None, b), (None, b), (7, c), (7, d), (6, c), (6, c), (8, d)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, text_hash int").repartition(3)
+    kept = simhash.drop_near_copies(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, a), (None, b), (6, c), (7, d)], key=str)
+    groups = simhash.near_groups(df).collect()
+    assert len(groups) == len(rows) and {r.component_id for r in groups} == {5, None, 6, 7}
+
+
 def test_drop_near_copies(docs, none, rows):
     fps = [fingerprint_brute(t) for _, t, *_ in rows]
     kept = simhash.drop_near_copies(docs)
