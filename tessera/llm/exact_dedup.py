@@ -111,7 +111,7 @@ def _sorted(rows: DataFrame, keep_text: bool = False) -> tuple[DataFrame, list[S
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[after:])
     dealt = rows.mapInArrow(run, f"pid int, norm binary, size long, doc_id long{kinds}")
-    return dealt.repartitionById(partitions, F.col("pid")).sortWithinPartitions("norm", "size", "doc_id").drop("size"), found
+    return dealt.repartitionById(len(found) + 1, F.col("pid")).sortWithinPartitions("norm", "size", "doc_id").drop("size"), found
 
 
 def _starts(norm: pa.Array, last: bytes | None) -> np.ndarray:
