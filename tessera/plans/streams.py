@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import scratch_path
 from ..streaming import streams
 from .registry import Registry, table
 
@@ -24,20 +23,57 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    return streams.run_to_end(stream, f"t{uuid.uuid4().hex}", mode)
+    return streams.run_to_end(stream, scratch_path(stream.sparkSession, "stream"), mode)
+
+
+def _in_parts(df: DataFrame, cuts: list, column: str, **how) -> DataFrame:
+    """A table as a stream of so many files and one more, a batch each: the rows up to each cut of a column, in turn."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "parts")
+    low = None
+    for high in [*cuts, None]:
+        part = df if low is None else df.filter(F.col(column) > low)
+        (part if high is None else part.filter(F.col(column) <= high)).coalesce(1).write.mode("append").parquet(folder)
+        low = high
+    return streams.file_stream(spark, folder, df.schema, 1)
 
 
 @registry.add("SELECT event_type, user_id, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, user_id FROM events) GROUP BY ALL")
 def stream_append_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events once each by id, counted."""
-    return _end(_source(spark, sf_dir).dropDuplicates(["event_id"]).groupBy("event_type", "user_id").agg(F.count("*").alias("n")), "complete")
+    """Events once each by id, with a watermark that bounds the state, counted afterwards."""
+    return _end(streams.unique_events(_source(spark, sf_dir), ["event_id"])).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+
 
+STATE_SQL = """
+WITH e AS (SELECT *, value < 3.0 AS low, sum(CASE WHEN value < 3.0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events),
+runs AS (SELECT user_id, island, count(*) FILTER (WHERE low) AS n FROM e GROUP BY ALL),
+alarms AS (SELECT user_id, sum(n // 4)::BIGINT AS alarms, (arg_max(n, island) % 4)::BIGINT AS run FROM runs GROUP BY user_id),
+kinds AS (SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS kinds FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id),
+last AS (SELECT user_id, string_agg(round(value * 100)::BIGINT::VARCHAR, ',' ORDER BY event_id) AS last_cents FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5) GROUP BY user_id)
+SELECT user_id, max(value) AS best, count(*) % 50 AS rows, count(*) // 50 AS resets, any_value(run) AS run, any_value(alarms) AS alarms, count(*) AS seen, any_value(last_cents) AS last_cents, any_value(kinds) AS kinds
+FROM events JOIN alarms USING (user_id) JOIN kinds USING (user_id) JOIN last USING (user_id) GROUP BY user_id
+"""
 
-@registry.add("SELECT user_id, max(value) AS best, count(*) % 50 AS rows, count(*) // 50 AS resets FROM events GROUP BY user_id")
+
+@registry.add(STATE_SQL)
 def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best value and a counter with resets per key, by a stream's aggregation state."""
-    n = F.count("*")
-    return _end(_source(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("best"), (n % 50).alias("rows"), F.floor(n / 50).alias("resets")), "complete")
+    """Three batches through the state store: best value, counter with resets, run of low values with alarms, last five values and counts by kind of each key, after all of them."""
+    events = table(spark, sf_dir, "events")
+    n = events.agg(F.max("event_id")).first()[0] or 0
+    states = _end(streams.keyed_state(_in_parts(events, [n // 3, 2 * n // 3], "event_id")), "update")
+    last = states.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in states.columns if c != "user_id"]), "seen").alias("s")).select("user_id", "s.*")
+    cents = F.array_join(F.transform("last", lambda v: F.round(v * 100).cast("long").cast("string")), ",")
+    return last.select("user_id", "best", "rows", "resets", "run", "alarms", "seen", cents.alias("last_cents"), "kinds")
+
+
+@registry.add()
+def stream_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in three batches of a stream, each deduplicated against the stored index of what was kept: the rows of near_dup_online_keep."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.agg(F.max("doc_id")).first()[0] or 0
+    folder = scratch_path(spark, "near-index")
+    parts = _in_parts(docs, [n // 3, 2 * n // 3], "doc_id")
+    parts.writeStream.foreachBatch(streams.dedup_against(folder)).option("checkpointLocation", f"{folder}.log").trigger(availableNow=True).start().awaitTermination()
+    return streams.kept_rows(spark, folder).select("doc_id")
 
 
 @registry.add()

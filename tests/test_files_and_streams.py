@@ -1,10 +1,9 @@
 """Sources, sinks and streams on small folders."""
 
-import importlib.util
-
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import catalogue
 from tessera.sources import files, sinks
 from tessera.streaming import streams
 
@@ -66,23 +65,33 @@ def test_append_log_goes_on(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(9))
 
 
-def test_dedup_against_what_was_kept(spark, tmp_path):
-    kept = str(tmp_path / "kept")
-    step = streams.dedup_against(kept)
-    step(spark.createDataFrame([(1, "a"), (2, "a "), (3, "b")], "doc_id long, text string"), 0)
-    step(spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string"), 1)
-    assert sorted(r.doc_id for r in spark.read.parquet(kept).collect()) == [1, 3, 5]
-
-
 def test_near_copies_of_later_batches_go(spark, tmp_path):
     kept, source = str(tmp_path / "kept"), str(tmp_path / "in")
     words = [f"w{i}" for i in range(20)]
     a, b, c = " ".join(words), " ".join([*words[1:], "x"]), " ".join(f"v{i}" for i in range(20))
-    for rows in ([(1, a), (2, b), (3, "lone")], [(4, b), (5, c), (6, c + " y"), (7, a.upper())]):
+    for rows in ([(1, a), (2, b), (3, "lone"), (8, ""), (9, None)], [(4, b), (5, c), (6, c + " y"), (7, a.upper()), (10, "")]):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
         stream = streams.file_stream(spark, source, "doc_id long, text string", 10)
         stream.writeStream.foreachBatch(streams.dedup_against(kept)).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(kept).collect()) == [1, 3, 5]
+    assert sorted(r.doc_id for r in streams.kept_rows(spark, kept).collect()) == [1, 3, 5, 8, 9, 10]
+
+
+def test_repeated_batches_change_nothing(spark, tmp_path):
+    kept = str(tmp_path / "kept")
+    step = streams.dedup_against(kept)
+    batches = [spark.createDataFrame(rows, "doc_id long, text string, batch_name string") for rows in ([], [(1, "a b c d e", "x"), (2, "e d c b a", "x")], [(3, "a b c d e", "y"), (4, "f g", "y")], [(5, "g f", "z"), (6, "h", "z")])]
+    for number, batch in [*enumerate(batches), (1, batches[1]), (3, batches[3]), (2, batches[2])]:
+        step(batch, number)
+        if number == 3:
+            assert sorted(r.doc_id for r in streams.kept_rows(spark, kept).collect()) == [1, 4, 6]
+    got = streams.kept_rows(spark, kept)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4, 6] and got.columns == ["doc_id", "text", "batch_name"]
+
+
+def test_stream_near_dedup_is_the_batch_rule(spark):
+    queries = catalogue.queries()
+    got, want = (sorted(r.doc_id for r in queries[n](spark, "/root/testdata/sf0.001").collect()) for n in ("stream_near_dedup", "near_dup_online_keep"))
+    assert got == want
 
 
 def test_folded_state(spark):
@@ -90,14 +99,38 @@ def test_folded_state(spark):
     assert tuple(streams.folded_state(df, limit=5).first()) == (1, 9.0, 2, 1, 0, 1)
 
 
-@pytest.mark.skipif(importlib.util.find_spec("google.protobuf") is None if importlib.util.find_spec("google") else True, reason="the state API needs protobuf")
-def test_keyed_state_is_the_fold(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    df = spark.range(200).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("event_id"), (F.col("id") * 7 % 10).cast("double").alias("value"))
-    df.coalesce(1).write.parquet(str(tmp_path / "e"))
-    stream = streams.file_stream(spark, str(tmp_path / "e"), df.schema)
-    got = streams.run_to_end(streams.keyed_state(stream), "keyed", "update")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streams.folded_state(df).collect()))
+def events(spark, n, keys=3):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    return spark.range(n).select((F.col("id") % keys).alias("user_id"), F.col("id").alias("event_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("event_type"), at.alias("ts"), (F.col("id") * 7 % 10).cast("double").alias("value"))
+
+
+def test_keyed_state_over_batches_is_one_fold(spark, tmp_path):
+    """Two batches, and two batches that begin with the state after earlier events, end where one fold over all events ends."""
+    df = events(spark, 200)
+    fold = {r.user_id: tuple(r) for r in streams.folded_state(df).collect()}
+    for part in ("event_id < 90", "event_id >= 90"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    run = lambda source, out, **how: streams.run_to_end(streams.keyed_state(streams.file_stream(spark, str(tmp_path / source), df.schema), **how), str(tmp_path / out), "update").collect()
+    got = run("e", "o")
+    end = {r.user_id: r for r in sorted(got, key=lambda r: r.seen)}
+    assert len(got) == 6 and {k: tuple(r)[:6] for k, r in end.items()} == fold
+    assert end[0].last == [float(i * 7 % 10) for i in range(186, 200, 3)] and end[0].kinds == "a=17,b=50" and not end[0].expired
+    first = spark.createDataFrame([r for r in got if r.seen == 30], streams.FULL_STATE)
+    df.filter("event_id >= 90").coalesce(1).write.parquet(str(tmp_path / "late"))
+    again = {r.user_id: r for r in run("late", "o2", initial=first)}
+    assert again == end
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """A key that is quiet while event time goes on is emitted as expired and begins anew."""
+    for ids in ((0, 1, 3), (900, 901), (1800, 1801), (3102,)):
+        part = spark.createDataFrame([(i,) for i in ids], "id long").select(F.when(F.col("id") % 3 == 1, 1).otherwise(0).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.lit("a").alias("event_type"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"), F.lit(1.0).alias("value"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    schema = part.schema
+    stream = streams.file_stream(spark, str(tmp_path / "e"), schema)
+    got = streams.run_to_end(streams.keyed_state(stream, idle="20 hours"), str(tmp_path / "o"), "update").collect()
+    assert [r.seen for r in got if r.user_id == 0 and not r.expired] and max(r.seen for r in got if r.user_id == 0) == 5
+    assert [r.seen for r in got if r.user_id == 1 and r.expired] != []
 
 
 def test_threshold():
