@@ -133,9 +133,27 @@ def fixed_syntax(text: Column) -> Column:
     return F.struct(text.alias("text"), F.array_compact(F.array(*names)).alias("rules"))
 
 
-def indented_junctions(text: Column, indent: int = 4) -> Column:
-    """Lines that begin with a junction are brought to one column."""
-    return F.regexp_replace(text, r"(?m)^[ \t]*(/\\|\\/)\s*", " " * indent + "$1 ")
+JUNCTION = r"^\s*(/\\|\\/)"
+#: A line end before a line that a list doesn't go over: neither a junction nor an indented line that begins with no keyword.
+LIST_END = r"\n(?![^\S\n]*(?:/\\|\\/)|[^\S\n]++(?!(?:ELSE|IN|THEN|LET|IF|CASE|OTHER)\b)\S)"
+
+
+def indented_junctions(text: Column) -> Column:
+    """The junctions of a list are brought to the column of its first.
+
+    A list goes on over junctions and indented lines; an empty or any other line, or one that begins with a keyword, closes it.
+    So the text is cut before such lines, and each piece has a first line, which stays, and at most one list.
+    """
+
+    def aligned(piece: Column) -> Column:
+        lines = F.split(piece, "\n")
+        rest = F.slice(lines, F.lit(2), F.size(lines))
+        first = F.get(F.filter(rest, lambda line: line.rlike(JUNCTION)), F.lit(0))
+        column = F.regexp_extract(first, r"^(\s*)", 1)
+        moved = F.transform(rest, lambda line: F.when(line.rlike(JUNCTION), F.concat(column, F.regexp_replace(line, r"^\s+", ""))).otherwise(line))
+        return F.array_join(F.concat(F.slice(lines, 1, 1), moved), "\n")
+
+    return F.array_join(F.transform(F.split(text, LIST_END), aligned), "\n")
 
 
 def with_helpers(text: Column) -> Column:

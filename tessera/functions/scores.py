@@ -62,7 +62,7 @@ def richness(spec: Column) -> Column:
 
 
 # What counts as a comment (a block comment only at the start of a line) and as an invariant.
-COMMENT_PATTERN = r"(?m)([\\][*]|^\s*[(][*])"
+COMMENT_PATTERN = r"(?m)(\\\*|^\s*\(\*)"
 INVARIANT_PATTERN = r"(?mi)^(TypeOK|Safety|Inv|.*Invariant)\s*=="
 
 

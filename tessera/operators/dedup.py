@@ -105,6 +105,15 @@ def seed_anchored_near(seed: DataFrame, rows: DataFrame, checkpoint, threshold:
     return kept.select(F.col("id").alias(position))
 
 
+def band_layout(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
+    """Bands and rows of a signature of at most `most` minima: the most rows a band by which a pair at the threshold still shares a band with the probability `recall`."""
+    for rows in range(most, 0, -1):
+        bands = most // rows
+        if 1 - (1 - threshold**rows) ** bands >= recall:
+            return bands, rows
+    raise ValueError(f"no layout of {most} minima finds pairs of similarity {threshold} with probability {recall}")
+
+
 def minhash_bands(sets: DataFrame, bands: int = 9, rows: int = 13, items: str = "set") -> DataFrame:
     """id, band, key: signatures of bands * rows minima of seeded hashes of the set's items."""
     # Items are hashed once; a seed then mixes each hash anew.
@@ -114,6 +123,12 @@ def minhash_bands(sets: DataFrame, bands: int = 9, rows: int = 13, items: str =
     return sets.filter(F.size(items) > 0).select("id", F.posexplode(keys).alias("band", "key"))
 
 
+def links_found(links: DataFrame, bands: DataFrame) -> DataFrame:
+    """Of the links (a, b), those whose signatures share a band: what a probe by bands retrieves."""
+    a, b = (bands.select(F.col("id").alias(c), "band", "key") for c in ("a", "b"))
+    return links.join(a, "a").join(b, ["b", "band", "key"]).select("a", "b").distinct()
+
+
 def band_candidates(bands: DataFrame) -> DataFrame:
     """Each row with the smallest id that shares a band with it: a forest of candidates, not all pairs of a bucket."""
     least = bands.groupBy("band", "key").agg(F.min("id").alias("a"))

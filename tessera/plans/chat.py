@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import messages
+from ..functions import messages, rewards
 from ..operators import ranking
 from .registry import Registry, table
 
@@ -99,3 +99,21 @@ def best_until_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the attempts up to the first success, the best."""
     n = F.length("text")
     return ranking.until_first(table(spark, sf_dir, "conversations"), "conv_id", "turn", (F.col("role") == "assistant") & (n > 200), [n]).select("conv_id", "turn", n.alias("n"))
+
+
+@registry.add("""
+WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations),
+w AS (SELECT conv_id, turn, text, string_split(text, ' ') AS ws, string_split(coalesce(prompt, ''), ' ') AS known FROM t WHERE role = 'assistant'),
+s AS (SELECT *, CASE WHEN trim(text) = '' THEN 0 ELSE len(list_filter(ws, lambda x: NOT list_contains(known, x)))::DOUBLE / len(ws) END AS share FROM w)
+SELECT conv_id, turn, round(CASE WHEN trim(text) = '' THEN 0 ELSE least(1.0, share + CASE WHEN share > 0.75 THEN 0.1 ELSE 0 END) END, 6) AS reward FROM s
+""")
+def rewarded_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewards of assistant turns against the turn before, the completions as texts or as lists of messages."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("prompt", F.lag("text").over(w)).filter("role = 'assistant'")
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(*[F.struct(F.lit("assistant").alias("role"), c.alias("content")) for c in (F.substring("text", F.lit(1), half), F.col("text").substr(half + 1, F.length("text")))])
+    shape = F.when(F.col("turn") % 4 == 1, F.to_json(parts)).otherwise(F.to_json(F.struct("text")))
+    variant = F.when(F.col("turn") % 4 == 1, F.parse_json(shape)).otherwise(F.try_variant_get(F.parse_json(shape), "$.text", "variant"))
+    text_ = rewards.completion_text(variant)
+    return turns.select("conv_id", "turn", F.round(rewards.reward(rewards.shaped, F.col("prompt"), text_, before=F.lit(0.75)), 6).alias("reward"))

@@ -91,14 +91,13 @@ def near_dup_online_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add()
 def near_dup_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact links, and how many of their documents the banded signatures (9 bands of 13) also bring together with some other."""
+    """Exact links, and how many of them share a band of a layout solved for 0.95 at the threshold."""
     docs = dedup.exact_first(table(spark, sf_dir, "documents"))
-    links = dedup.token_links(docs)
-    bands = dedup.minhash_bands(docs.select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("set")))
-    found = dedup.band_candidates(bands)
-    touched = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    both = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(touched.withColumn("hit", F.lit(1)), "id", "left")
-    return both.agg(F.count("*").alias("linked"), F.count("hit").alias("found"))
+    links = checkpointed(dedup.token_links(docs))
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    sets = docs.select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("set")).join(ends, "id", "left_semi")
+    found = dedup.links_found(links.select("a", "b"), dedup.minhash_bands(sets, *dedup.band_layout(0.8, 0.95)))
+    return links.agg(F.count("*").alias("linked")).crossJoin(found.agg(F.count("*").alias("found")))
 
 
 BAND = "CASE WHEN n_words < 50 THEN 'short' WHEN n_words < 300 THEN 'medium' ELSE 'long' END"

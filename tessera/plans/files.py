@@ -55,6 +55,40 @@ def nested_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.topics(files.json_document(spark, path, "batches array<struct<domain string, topics array<string>>>"))
 
 
-@registry.add()
+DRAW = "('0x' || substr(md5('42|{k}|' || id), 1, 8))::BIGINT % 100"
+
+
+@registry.add(f"""WITH d AS (SELECT id, {DRAW.format(k=1)} AS a, {DRAW.format(k=2)} AS b FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS id))
+SELECT id, a, b, 'What is ' || a || ' + ' || b || '?' AS question, a + b AS answer FROM d""")
 def synthetic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.synthetic(spark, 500)
+    """As many seeded sums as there are parts."""
+    return files.synthetic(spark, table(spark, sf_dir, "part").count())
+
+
+@registry.add("SELECT count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS parsed, count(*) FILTER (WHERE value > 5) AS checked, round(avg(value), 6) AS mean, true AS newest FROM events WHERE event_id % 3 = 1")
+def newest_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the newest of three result files that has rows: the last one written has only its header."""
+    path = scratch_path(spark, "results")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for name, keep in (("old", "event_id % 3 = 0"), ("new", "event_id % 3 = 1"), ("empty", "false")):
+        e.filter(keep).coalesce(1).write.option("header", True).csv(f"{path}/{name}")
+    rows = files.newest_file(spark, path, "event_id long, event_type string, value double", header=True)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("parsed"), F.count_if(F.col("value") > 5).alias("checked"), F.round(F.avg("value"), 6).alias("mean"), F.max(F.contains("source", F.lit("/new/"))).alias("newest"))
+
+
+COUNTERS = {
+    "entries": "true", "empty": "text = ''", "lines": None, "chars": None, "english": "lang = 'en'", "long": "n_chars > 2000", "short": "n_chars < 50", "questions": "contains(text, '?')",
+    "numbers": "regexp_matches(text, '[0-9]')", "capitals": "regexp_matches(text, '^[A-Z]')", "licensed": "contains(text, 'License')", "even": "doc_id % 2 = 0",
+}
+SUMS = {"lines": "len(string_split(text, chr(10)))", "chars": "n_chars"}
+
+
+@registry.add(" UNION ALL ".join(f"SELECT '{name}' AS counter, coalesce(sum({SUMS.get(name) or f'({test})::INT'}), 0)::BIGINT AS n FROM documents" for name, test in COUNTERS.items()))
+def harvest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve counters that come with the pass that writes the documents: the table is scanned once."""
+    spark_test = lambda t: F.expr(t.replace("regexp_matches", "regexp_like"))
+    exprs = {name: F.count_if(spark_test(test)) for name, test in COUNTERS.items() if test}
+    exprs |= {"lines": F.sum(F.size(F.split("text", "\n"))), "chars": F.sum("n_chars")}
+    path = scratch_path(spark, "harvest")
+    sinks.write_counted(table(spark, sf_dir, "documents"), f"{path}/rows", f"{path}/counters", step=1, **exprs)
+    return spark.read.json(f"{path}/counters").select("counter", "n")

@@ -1,6 +1,6 @@
-"""Rules over records and module texts: literal tables of awkward cases, with the rows that were worked out by hand.
+"""Rules over records and module texts. Each part gets one of a few awkward cases, with the part's key in its names, so the work grows with the table.
 
-The SQL of these queries lists the rows that the rules' wording gives, not the rules again, so it can't repeat a mistake of theirs.
+The SQL of these queries lists the rows that the rules' wording gives for a case, worked out by hand, not the rules again, so it can't repeat a mistake of theirs.
 """
 
 from __future__ import annotations
@@ -37,71 +37,85 @@ MODULES = [
 ]
 
 
-def module_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODULES, "id int, spec string, config string")
+def each_part(spark: SparkSession, sf_dir: str, cases: list, schema: str, *named: str) -> DataFrame:
+    """p_partkey and one of the cases (numbered from 1 in their first column id; broadcast, as they are a few literals) for each part. In the columns named, the word `seen` has the part's key behind it."""
+    n = max(c[0] for c in cases)
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % n + 1).cast("int").alias("id"))
+    rows = parts.join(F.broadcast(spark.createDataFrame(cases, schema)), "id")
+    return rows.withColumns({c: F.replace(c, F.lit("seen"), F.concat(F.lit("seen"), F.col("p_partkey").cast("string"))) for c in named})
 
 
-@registry.add("SELECT * FROM (VALUES (1, true, true), (2, false, false), (3, true, true), (4, false, false)) t(id, has_comments, has_invariants)")
+def _expected(values: str, names: str, n: int, *named: str) -> str:
+    """SQL of the rows that each_part's n cases give; the first of names is id."""
+    columns = [f"replace({c}, 'seen', 'seen' || p_partkey) AS {c}" if c in named else c for c in names.split(", ")[1:]]
+    return f"SELECT p_partkey, {', '.join(columns)} FROM part JOIN (VALUES {values}) t({names}) ON p_partkey % {n} + 1 = t.id"
+
+
+def module_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return each_part(spark, sf_dir, MODULES, "id int, spec string, config string", "spec")
+
+
+@registry.add(_expected("(1, true, true), (2, false, false), (3, true, true), (4, false, false)", "id, has_comments, has_invariants", 4))
 def quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block comments count only at the start of a line, invariants only as definitions there, whatever their case."""
     q = scores.quality(F.col("spec"))
-    return module_table(spark).select("id", q["has_comments"].alias("has_comments"), q["has_invariants"].alias("has_invariants"))
+    return module_table(spark, sf_dir).select("p_partkey", q["has_comments"].alias("has_comments"), q["has_invariants"].alias("has_invariants"))
 
 
-@registry.add(r"""SELECT * FROM (VALUES (1, 'TypeOK,MyInv,safetyInvariant', 'TypeOK == seen \in 0..N#safetyInvariant == seen >= 0|  /\ TRUE', true), (2, 'Foo,Bar,why', '', true), (3, '', 'INV == 1', false), (4, '', '', false)) t(id, names, blocks, found)""")
+@registry.add(_expected(r"""(1, 'TypeOK,MyInv,safetyInvariant', 'TypeOK == seen \in 0..N#safetyInvariant == seen >= 0|  /\ TRUE', true), (2, 'Foo,Bar,why', '', true), (3, '', 'INV == 1', false), (4, '', '', false)""", "id, names, blocks, found", 4, "blocks"))
 def invariant_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invariants' names (the configuration's first) and blocks, and whether there are any names."""
     names = modules.invariant_names(F.col("spec"), F.col("config"))
     blocks = F.replace(F.array_join(modules.invariant_blocks(F.col("spec")), "#"), F.lit("\n"), F.lit("|"))
-    return module_table(spark).select("id", F.array_join(names, ",").alias("names"), blocks.alias("blocks"), (F.size(names) > 0).alias("found"))
+    return module_table(spark, sf_dir).select("p_partkey", F.array_join(names, ",").alias("names"), blocks.alias("blocks"), (F.size(names) > 0).alias("found"))
 
 
-@registry.add("SELECT * FROM (VALUES ('N', '3'), ('Node', '{v1, v2, v3}'), ('Leader', 'v1'), ('Workers', '{v1, v2, v3}'), ('Foo', '3')) t(name, value)")
+@registry.add(_expected("(1, 'N', '3'), (2, 'Node', '{v1, v2, v3}'), (3, 'Leader', 'v1'), (4, 'Workers', '{v1, v2, v3}'), (5, 'Foo', '3')", "id, name, value", 5))
 def constant_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checker values of constants: by use in the text, then by name."""
-    names = spark.createDataFrame([(n,) for n in ("N", "Node", "Leader", "Workers", "Foo")], "name string")
-    return names.select("name", modules.constant_value(F.col("name"), F.lit(LONG)).alias("value"))
+    names = each_part(spark, sf_dir, [(i, n, LONG) for i, n in enumerate(("N", "Node", "Leader", "Workers", "Foo"), 1)], "id int, name string, spec string", "spec")
+    return names.select("p_partkey", "name", modules.constant_value(F.col("name"), F.col("spec")).alias("value"))
 
 
-@registry.add("SELECT * FROM (VALUES ('pcs', '[control / process state]'), ('self', '[control / process state]'), ('Msgs', '[message/channel component]'), ('votes', '[set or sequence component]'), ('vars', '[state function / data value]'), ('clock', '[state function / data value]')) t(name, kind)")
+@registry.add(_expected("(1, 'pcs', '[control / process state]'), (2, 'self', '[control / process state]'), (3, 'Msgs', '[message/channel component]'), (4, 'votes', '[set or sequence component]'), (5, 'vars', '[state function / data value]'), (6, 'clock', '[state function / data value]')", "id, name, kind", 6))
 def variable_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("pcs", "self", "Msgs", "votes", "vars", "clock")], "name string")
-    return names.select("name", modules.guessed_type(F.col("name")).alias("kind"))
+    names = each_part(spark, sf_dir, list(enumerate(("pcs", "self", "Msgs", "votes", "vars", "clock"), 1)), "id int, name string")
+    return names.select("p_partkey", "name", modules.guessed_type(F.col("name")).alias("kind"))
 
 
-@registry.add(r"""SELECT * FROM (VALUES
+@registry.add(_expected(r"""
   (1, 'existential quantification (\E) chooses a witness (e.g. process or schedule step). disjunction (\/) combines alternative transitions.', 'Weak fairness (WF_) on action(s).'),
-  (2, 'No explicit \E/CHOOSE detected in scanned Next/spec fragment; may be deterministic or use library ops.', 'No WF_/SF_ tokens found in Spec fragment; liveness may be absent or expressed differently.')) t(id, choices, fairness)""")
+  (2, 'No explicit \E/CHOOSE detected in scanned Next/spec fragment; may be deterministic or use library ops.', 'No WF_/SF_ tokens found in Spec fragment; liveness may be absent or expressed differently.')""", "id, choices, fairness", 4))
 def behaviour_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("spec")
-    return module_table(spark).filter("id < 3").select("id", modules.nondeterminism(s, modules.body(s, "Next")).alias("choices"), modules.fairness(s, modules.body(s, "Spec")).alias("fairness"))
+    return module_table(spark, sf_dir).filter("id < 3").select("p_partkey", modules.nondeterminism(s, modules.body(s, "Next")).alias("choices"), modules.fairness(s, modules.body(s, "Spec")).alias("fairness"))
 
 
-@registry.add("SELECT * FROM (VALUES ('tuned:8b', 'fine-tuned'), ('tuned', 'general'), ('gpt-oss:20b', 'base'), ('llama', 'general')) t(model, class)")
+@registry.add(_expected("(1, 'tuned:8b-seen', 'fine-tuned'), (2, 'tuned', 'general'), (3, 'gpt-oss:20b', 'base'), (4, 'llama-seen', 'general')", "id, model, class", 4, "model"))
 def model_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("tuned:8b", "tuned", "gpt-oss:20b", "llama")], "model string")
-    return names.select("model", scores.model_class(F.col("model"), "tuned").alias("class"))
+    names = each_part(spark, sf_dir, list(enumerate(("tuned:8b-seen", "tuned", "gpt-oss:20b", "llama-seen"), 1)), "id int, model string", "model")
+    return names.select("p_partkey", "model", scores.model_class(F.col("model"), "tuned").alias("class"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, 3, 1.0), (2, 0, 0.0), (3, 0, 0.0), (4, 0, 0.0)) t(id, named, structure)")
+@registry.add(_expected("(1, 3, 1e0), (2, 0, 0e0), (3, 0, 0e0), (4, 0, 0e0)", "id, named, structure", 4))
 def expected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of four expected names are defined, and the structure score that asks for one of them."""
     want = F.array(*map(F.lit, ("TypeOK", "Init", "Seen", "MyInv")))
-    return module_table(spark).select("id", scores.expected_overlap(F.col("spec"), want).alias("named"), F.round(scores.structure_with(F.col("spec"), want), 6).alias("structure"))
+    return module_table(spark, sf_dir).select("p_partkey", scores.expected_overlap(F.col("spec"), want).alias("named"), F.round(scores.structure_with(F.col("spec"), want), 6).alias("structure"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, true, false), (2, false, true), (3, false, true), (4, false, true)) t(id, core, stub)")
+@registry.add(_expected("(1, true, false), (2, false, true), (3, false, true), (4, false, true)", "id, core, stub", 4))
 def module_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return module_table(spark).select("id", gates.core_structure(F.col("spec")).alias("core"), gates.is_stub(F.col("spec")).alias("stub"))
+    return module_table(spark, sf_dir).select("p_partkey", gates.core_structure(F.col("spec")).alias("core"), gates.is_stub(F.col("spec")).alias("stub"))
 
 
-@registry.add("""SELECT * FROM (VALUES (1, true, true, true, true, true, true), (2, true, true, false, false, false, false), (3, false, false, true, false, false, false)) t(id, tier_ok, credit_ok, short, in_band, reasoned, annotated)""")
+@registry.add(_expected("(1, true, true, true, true, true, true), (2, true, true, false, false, false, false), (3, false, false, true, false, false, false)", "id, tier_ok, credit_ok, short, in_band, reasoned, annotated", 3))
 def record_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier, credit floor, budget of characters, headroom, reasoning and annotation, on rows at the limits and with nulls."""
     rows = [(1, "gold", 0.5, "aaaa", "bb", "ccccc", 0.4, "x" * 200, "good"), (2, "silver", None, "a" * 6, "bbbb", "", 0.05, "x" * 199, "[annotation failed: x"), (3, "bronze", 0.1, None, None, "cc", None, None, None)]
     c = F.col
-    return spark.createDataFrame(rows, "id int, tier string, credit double, p string, c string, r string, score double, reasoning string, note string").select(
-        "id", gates.tier_allowed(c("tier")).alias("tier_ok"), gates.credit_floor(c("credit"), 0.3).alias("credit_ok"), gates.within_budget(c("p"), c("c"), c("r"), 9).alias("short"), gates.headroom(c("score"), 0.1, 0.4).alias("in_band"), gates.reasoned(c("reasoning")).alias("reasoned"), gates.annotated(c("note")).alias("annotated")
+    return each_part(spark, sf_dir, rows, "id int, tier string, credit double, p string, c string, r string, score double, reasoning string, note string").select(
+        "p_partkey", gates.tier_allowed(c("tier")).alias("tier_ok"), gates.credit_floor(c("credit"), 0.3).alias("credit_ok"), gates.within_budget(c("p"), c("c"), c("r"), 9).alias("short"), gates.headroom(c("score"), 0.1, 0.4).alias("in_band"), gates.reasoned(c("reasoning")).alias("reasoned"), gates.annotated(c("note")).alias("annotated")
     )
 
 
@@ -125,7 +139,7 @@ def _sql(text: str) -> str:
     return "'" + text.strip().replace("\n", "|").replace("'", "''") + "'"
 
 
-@registry.add(rf"""SELECT * FROM (VALUES
+@registry.add(_expected(rf"""
   (1, 'full_gen', {_sql(LONG)}), (2, 'full_gen', {_sql(MODULES[1][1])}), (3, 'full_gen', {_sql(MODULES[2][1])}), (5, 'full_gen', {_sql(SHORT)}),
   (1, 'completion', 'Next == \E p \in Node : seen'' = seen + 1 \/ UNCHANGED seen|Spec == Init /\ [][Next]_seen /\ WF_seen(Next)|===='),
   (1, 'infill_next', 'Next == \E p \in Node : seen'' = seen + 1 \/ UNCHANGED seen'),
@@ -134,19 +148,19 @@ def _sql(text: str) -> str:
   (5, 'completion', '\* step|(* more *)|Next == q'' = q||==== |\* tail'),
   (5, 'infill_next', 'Next == q'' = q'),
   (5, 'segment_init', 'Init == q = 0|  /\ TRUE'),
-  (5, 'req_analysis', '**Required properties for this system:**||- `TypeOK` — Type OK')) t(id, task, answer)""")
+  (5, 'req_analysis', '**Required properties for this system:**||- `TypeOK` — Type OK')""", "id, task, answer", 7, "answer"))
 def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module's rows of five task types. Comments before a definition belong to it; repeated rows count once, rows without a description give none."""
     more = [(5, SHORT, "a queue"), (5, SHORT, "a queue"), (6, SHORT, None), (7, SHORT, " ")]
-    rows = spark.createDataFrame([(i, s, "a queue") for i, s, _ in MODULES] + more, "id int, spec string, description string")
-    return generators.multitask(rows, "id", "description", "spec").select("id", "task", F.replace(F.col("messages")[1]["content"], F.lit("\n"), F.lit("|")).alias("answer"))
+    rows = each_part(spark, sf_dir, [(i, s, "a queue") for i, s, _ in MODULES] + more, "id int, spec string, description string", "spec")
+    return generators.multitask(rows, "p_partkey", "description", "spec").select("p_partkey", "task", F.replace(F.col("messages")[1]["content"], F.lit("\n"), F.lit("|")).alias("answer"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, 'bad_keyword', -6, true), (1, 'double_prime', 1, true), (1, 'pluscal_leak', 6, true), (1, 'remove_closing', -4, true), (1, 'remove_extends', -16, true)) t(id, mutation, longer, messaged)")
+@registry.add(_expected("(1, 'bad_keyword', -6, true), (1, 'double_prime', 1, true), (1, 'pluscal_leak', 6, true), (1, 'remove_closing', -4, true), (1, 'remove_extends', -16, true)", "id, mutation, longer, messaged", 4))
 def syntax_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven syntax errors tried on each module: what changes a text becomes a repair row, short modules give none."""
-    rows = generators.syntax_repairs(module_table(spark), "id", "spec", len(generators.SYNTAX_ERRORS))
-    return rows.select("id", "mutation", (F.length("broken") - F.length("fixed")).alias("longer"), (F.size("messages") == 2).alias("messaged"))
+    rows = generators.syntax_repairs(module_table(spark, sf_dir), "p_partkey", "spec", len(generators.SYNTAX_ERRORS))
+    return rows.select("p_partkey", "mutation", (F.length("broken") - F.length("fixed")).alias("longer"), (F.size("messages") == 2).alias("messaged"))
 
 
 @registry.add("""
@@ -175,31 +189,36 @@ def proof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("suite").agg(F.count("*").alias("n"), rate(F.col("r.tier") != "parse_error").alias("parse_rate"), rate(proved > 0).alias("any_proved"), rate(proved >= F.col("wanted")).alias("full_proved"), F.round(F.avg(proved), 6).alias("mean_proved"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, 'ok', ''), (2, 'violation', ''), (3, 'error', 'Error: x|Type checker says no'), (4, 'error', '')) t(id, outcome, errors)")
+@registry.add(_expected("(1, 'ok', ''), (2, 'violation', ''), (3, 'error', 'Error: seen|Type checker says no'), (4, 'error', '')", "id, outcome, errors", 4, "errors"))
 def bounded_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a bounded checker's log says."""
-    rows = [(1, "a line\nEXITCODE: OK\n"), (2, "Error: Inv is VIOLATED\nEXITCODE: ERROR (12)"), (3, "first error\n  Error: x\nType checker says no\n"), (4, "")]
+    rows = [(1, "a line\nEXITCODE: OK\n"), (2, "Error: Inv is VIOLATED\nEXITCODE: ERROR (12)"), (3, "first error\n  Error: seen\nType checker says no\n"), (4, "")]
     r = logs.bounded_result(F.col("log"))
-    return spark.createDataFrame(rows, "id int, log string").select("id", r["outcome"].alias("outcome"), F.array_join(r["errors"], "|").alias("errors"))
+    return each_part(spark, sf_dir, rows, "id int, log string", "log").select("p_partkey", r["outcome"].alias("outcome"), F.array_join(r["errors"], "|").alias("errors"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, 'Define the operator or extend the module that has it.'), (2, 'Check the line''s brackets and junctions.|Define each name once.'), (3, '')) t(id, hints)")
+@registry.add(_expected("(1, 'Define the operator or extend the module that has it.'), (2, 'Check the line''s brackets and junctions.|Define each name once.'), (3, '')", "id, hints", 3))
 def parser_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "Unknown operator: `Foo'"), (2, "Was expecting \"==\"\nMultiple declarations of x"), (3, "fine")]
-    return spark.createDataFrame(rows, "id int, log string").select("id", F.array_join(logs.hints(F.col("log")), "|").alias("hints"))
+    return each_part(spark, sf_dir, rows, "id int, log string").select("p_partkey", F.array_join(logs.hints(F.col("log")), "|").alias("hints"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(id, repair)")
+@registry.add("""
+WITH c AS (SELECT conv_id, arg_min(CASE conv_id % 3 WHEN 0 THEN 'Please FIX THE SPEC now. ' WHEN 1 THEN 'It has Syntax  errors ' ELSE '' END || text, turn) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY conv_id)
+SELECT conv_id, coalesce(contains(lower(asked), 'fix the spec') OR contains(lower(asked), 'syntax errors') OR contains(lower(asked), 'sany errors'), false) AS repair FROM c
+""")
 def repair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the first user message asks for a repair."""
-    rows = [(1, [("user", None, "Please FIX THE SPEC now")]), (2, [("user", None, "Write a spec"), ("user", None, "fix the spec")]), (3, [("system", None, "fix the spec"), ("user", None, "go")])]
-    return spark.createDataFrame(rows, "id int, messages array<struct<role:string,channel:string,content:string>>").select("id", messages.is_repair_request(F.col("messages")).alias("repair"))
+    """Whether a conversation's first user message asks for a repair; a third of them are made to, and a third nearly."""
+    lead = F.when(F.col("conv_id") % 3 == 0, "Please FIX THE SPEC now. ").when(F.col("conv_id") % 3 == 1, "It has Syntax  errors ").otherwise("")
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.concat(lead, "text").alias("content")))).alias("turns"))
+    chat = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.lit(None).cast("string").alias("channel"), t["content"].alias("content")))
+    return turns.select("conv_id", messages.is_repair_request(chat).alias("repair"))
 
 
-@registry.add("SELECT * FROM (VALUES (1, true, 1.0), (2, false, 0.6), (3, false, 0.2), (4, false, 0.0)) t(id, diamond, semantic)")
+@registry.add(_expected("(1, true, 1e0), (2, false, 6e-1), (3, false, 2e-1), (4, false, 0e0)", "id, diamond, semantic", 4))
 def diamond_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top tier's gate, and the composite of coverage (0.4), any invariant (0.4) and a caught mutation (0.2)."""
     rows = [(1, 5, False, 2, True, True, 1.0), (2, 1, False, 1, True, True, 0.0), (3, 9, False, 0, True, True, 0.0), (4, 9, True, 0, False, False, 0.0)]
     c = F.col
-    t = spark.createDataFrame(rows, "id int, states int, trivial boolean, invariants int, tested boolean, caught boolean, coverage double")
-    return t.select("id", scores.is_diamond(c("states"), c("trivial"), c("invariants"), c("tested"), c("caught")).alias("diamond"), F.round(scores.semantic_score(c("coverage"), c("invariants"), c("caught")), 6).alias("semantic"))
+    t = each_part(spark, sf_dir, rows, "id int, states int, trivial boolean, invariants int, tested boolean, caught boolean, coverage double")
+    return t.select("p_partkey", scores.is_diamond(c("states"), c("trivial"), c("invariants"), c("tested"), c("caught")).alias("diamond"), F.round(scores.semantic_score(c("coverage"), c("invariants"), c("caught")), 6).alias("semantic"))

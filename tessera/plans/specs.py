@@ -19,6 +19,8 @@ LINES = (
     ("p_size % 3 = 0", "CONSTANTS N, Servers"),
     ("p_partkey % 13 <> 0", "VARIABLES x, queue"),
     ("p_size % 2 = 0", "\\* a comment; with a mark"),
+    ("p_partkey % 10 = 3", "  (* a block comment *)"),
+    ("p_partkey % 10 = 7", "Low == x (* inline *)"),
     ("p_partkey % 5 <> 0", "TypeOK == x \\in 0..N"),
     ("p_partkey % 7 = 0", "Inv == TRUE"),
     ("true", "Init == x = 0;"),
@@ -57,7 +59,7 @@ N_LINES = "len(string_split(spec, chr(10)))"
 
 @registry.add(f"""
 WITH {S}, f AS (SELECT *, {RICH} AS rich, {N_LINES} AS n FROM s),
-r AS (SELECT *, CASE WHEN n BETWEEN 50 AND 500 THEN 2 WHEN n BETWEEN 20 AND 49 OR n BETWEEN 501 AND 1000 THEN 1 ELSE 0 END + {_any(r'[(][*]|[\\][*]')} + 2 * {_any(scores.INVARIANT_PATTERN)} + {_any(r'(?m)(ENABLED|<>|^\[\]|~>|WF_|SF_)')}
+r AS (SELECT *, CASE WHEN n BETWEEN 50 AND 500 THEN 2 WHEN n BETWEEN 20 AND 49 OR n BETWEEN 501 AND 1000 THEN 1 ELSE 0 END + {_any(scores.COMMENT_PATTERN)} + 2 * {_any(scores.INVARIANT_PATTERN)} + {_any(r'(?m)(ENABLED|<>|^\[\]|~>|WF_|SF_)')}
   + CASE WHEN rich >= 5 THEN 2 WHEN rich >= 2 THEN 1 ELSE 0 END + {_any("[a-zA-Z_][a-zA-Z0-9_]*'")} + {_any(r'[\\]E\s|[\\]A\s|∃|∀')} AS raw FROM f)
 SELECT id, rich AS operator_richness, n AS line_count, raw AS raw_score, greatest(1, least(5, round_even(raw / 2.0, 0)))::INT AS overall, round(({STRUCTURE}) / 8.0, 6) AS structure,
   round(({COMPLEX} + CASE WHEN n > 40 THEN 1 ELSE 0 END + CASE WHEN n > 60 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(spec, '(?m)^\\w+\\s*==')) >= 6 THEN 1 ELSE 0 END) / 10.0, 6) AS complexity FROM r
@@ -195,3 +197,15 @@ def module_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("spec")
     carved = modules.carve(s)
     return spec_table(spark, sf_dir).select("id", modules.checker_config(s).alias("config"), modules.nondeterminism(s, modules.body(s, "Next")).alias("choices"), modules.fairness(s, modules.body(s, "Spec")).alias("fairness"), F.array_join(F.transform(modules.variables(s), modules.guessed_type), ",").alias("types"), (F.concat(carved["prefix"], carved["removed"], carved["suffix"]) == s).alias("whole"), modules.trivial_invariant(s, F.array(F.lit("Inv"))).alias("trivial"))
+
+
+@registry.add(f"""
+WITH {S}, j AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'Next ==' || chr(10) || '  /\\ a' || chr(10) || '     /\\ b' || id || chr(10) || ' more' || chr(10) || '\\/ c' || chr(10) || spec ELSE spec END AS text,
+  CASE WHEN id % 2 = 0 THEN 'Next ==' || chr(10) || '  /\\ a' || chr(10) || '  /\\ b' || id || chr(10) || ' more' || chr(10) || '  \\/ c' || chr(10) || spec ELSE spec END AS aligned FROM s)
+SELECT id, length(text) AS n_before, aligned FROM j
+""")
+def aligned_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of junctions in one column; every other specification begins with a ragged one."""
+    ragged = F.concat(F.lit("Next ==\n  /\\ a\n     /\\ b"), F.col("id").cast("string"), F.lit("\n more\n\\/ c\n"), F.col("spec"))
+    t = spec_table(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, ragged).otherwise(F.col("spec")).alias("text"))
+    return t.select("id", F.length("text").alias("n_before"), rewrite.indented_junctions(F.col("text")).alias("aligned"))

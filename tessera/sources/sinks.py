@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,16 @@ def replace(df: DataFrame, path: str) -> None:
         raise OSError(f"{new} can't be renamed to {path}")
 
 
+def write_counted(df: DataFrame, path: str, log: str, step: int, **counters: Column) -> dict[str, int]:
+    """df written to path as Parquet, and aggregates of its rows appended to the log by step: (step, counter, n). They are observed while the rows are written, so nothing is read twice."""
+    seen = Observation()
+    df.observe(seen, *[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in counters.items()]).write.mode("overwrite").parquet(path)
+    # One row a counter.
+    found = {k: seen.get[k] for k in counters}
+    df.sparkSession.createDataFrame([(step, k, n) for k, n in found.items()], "step long, counter string, n long").coalesce(1).write.mode("append").json(log)
+    return found
+
+
 def summary(df: DataFrame, path: str, **facts: object) -> None:
     """One JSON row beside a dataset: its rows and what else is known."""
     df.agg(F.count("*").alias("rows")).select("rows", *[F.lit(v).alias(k) for k, v in facts.items()]).coalesce(1).write.mode("overwrite").json(path)
