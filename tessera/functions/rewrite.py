@@ -145,13 +145,14 @@ def indented_junctions(text: Column) -> Column:
     So the text is cut before such lines, and each piece has a first line, which stays, and at most one list.
     """
 
+    def moved(lines: Column, column: Column) -> Column:
+        rest = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.when(line.rlike(JUNCTION), F.concat(column, F.regexp_replace(line, r"^\s+", ""))).otherwise(line))
+        return F.array_join(F.concat(F.slice(lines, 1, 1), rest), "\n")
+
     def aligned(piece: Column) -> Column:
-        lines = F.split(piece, "\n")
-        rest = F.slice(lines, F.lit(2), F.size(lines))
-        first = F.get(F.filter(rest, lambda line: line.rlike(JUNCTION)), F.lit(0))
-        column = F.regexp_extract(first, r"^(\s*)", 1)
-        moved = F.transform(rest, lambda line: F.when(line.rlike(JUNCTION), F.concat(column, F.regexp_replace(line, r"^\s+", ""))).otherwise(line))
-        return F.array_join(F.concat(F.slice(lines, 1, 1), moved), "\n")
+        # The lines and the column are computed once a piece, not once a line.
+        first = lambda lines: F.get(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: line.rlike(JUNCTION)), F.lit(0))
+        return let(F.split(piece, "\n"), lambda lines: let(F.regexp_extract(first(lines), r"^(\s*)", 1), lambda column: moved(lines, column)))
 
     return F.array_join(F.transform(F.split(text, LIST_END), aligned), "\n")
 

@@ -215,21 +215,40 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("SELECT d.doc_id, min(b.item_id) AS item_id, count(*) AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def decontam_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's text. Items meet only documents that share their rarest six-word phrase; then the whole text is looked for."""
+    """Documents that hold a benchmark item's text. Items meet only documents that share six words (or an inner word of a short item); then the whole text is looked for."""
     return _leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
 
 
+#: Keys of items that are broadcast as one set; more are joined.
+MOST_KEYS = 1 << 16
+
+
 def _leaks(docs: DataFrame, items: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id) where the document holds the item's whole text: an equi-join on a phrase, then the test."""
+    """(doc_id, item_id) where the document holds the item's whole text: an equi-join on a hash, then the test.
+
+    The second to seventh words of an item of nine words or more stand whole in any document that holds
+    it, and so does the longest inner word of one of three or more. Documents keep only hashes that are
+    an item's before any row is made of them. Items of one or two words may begin and end within words,
+    so they meet every document, up to MOST_KEYS of them by a broadcast.
+    """
     ws = F.split(F.col("text"), r"\s+")
     keyed = items.select("item_id", F.col("text").alias("item"), ws.alias("ws"))
-    # The second to seventh words stand whole in any document that holds the item; shorter items are matched by their second word or directly.
-    long_ = keyed.filter(F.size("ws") >= 9).select("item_id", "item", F.array_join(F.slice("ws", 2, 6), " ").alias("key"))
-    rest = keyed.filter(F.size("ws") < 9).select("item_id", "item")
-    shingles = docs.select(id_, F.explode(text.phrases(ws, 6)).alias("key"))
-    candidates = shingles.join(long_.select("key", "item_id"), "key").select(id_, "item_id").distinct()
+    longest = F.array_max(F.transform(F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    key = F.when(F.size("ws") >= 9, F.xxhash64(F.lit(6), F.array_join(F.slice("ws", 2, 6), " "))).when(F.size("ws") >= 3, F.xxhash64(F.lit(1), longest))
+    keyed = checkpointed(keyed.select("item_id", "item", key.alias("key")))
+    sixes = F.coalesce(F.transform(text.phrases(ws, 6), lambda p: F.xxhash64(F.lit(6), p)), F.array().cast("array<long>"))
+    hashes = F.array_union(sixes, F.transform(ws, lambda w: F.xxhash64(F.lit(1), w)))
+    keys = keyed.filter("key is not null").select("key").distinct()
+    own = docs.select(id_, hashes.alias("hashes"))
+    if keys.count() <= MOST_KEYS:
+        own = own.crossJoin(F.broadcast(keys.agg(F.collect_set("key").alias("keys")))).select(id_, F.array_intersect("hashes", "keys").alias("hashes"))
+    candidates = own.select(id_, F.explode("hashes").alias("key")).join(keyed.select("key", "item_id"), "key").select(id_, "item_id").distinct()
     found = docs.select(id_, "text").join(candidates, id_).join(items.select("item_id", F.col("text").alias("item")), "item_id").filter(F.contains("text", "item")).select(id_, "item_id")
-    short = docs.select(id_, "text").join(rest, F.contains("text", "item")).select(id_, "item_id")
+    few = keyed.filter("key is null").select("item_id", "item")
+    n = few.count()
+    if not n:
+        return found
+    short = docs.select(id_, "text").join(F.broadcast(few) if n <= MOST_KEYS else few, F.contains("text", "item")).select(id_, "item_id")
     return found.union(short)
 
 

@@ -141,3 +141,16 @@ def test_long_list_of_junctions(spark):
     text = "A ==\n" + "  /\\ x\n   /\\ y\n" * 20_000
     out = spark.createDataFrame([(text,)], "t string").select(rewrite.indented_junctions(F.col("t")).alias("u")).first().u
     assert out == brute_junctions(text)
+
+
+def test_leaks_of_items_of_all_lengths(spark):
+    """Long, short and one- and two-word items, in the middle of words too, against plain containment."""
+    from tessera.plans.corpus import _leaks
+
+    items = [(1, "a b c d e f g h i j"), (2, "one two  three four"), (3, "x y z"), (4, "solo"), (5, "two words"), (6, "a b c d e f g h i"), (7, "b  c d\te f g h i j k")]
+    texts = ["za b c d e f g h i jz", "someone two  three fours", "one two three four", "ax y zb", "consolor", "two wordsmith", "b  c d\te f g h i j kk", "", None, "a b c d e f g h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = _leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, i) for d, t in enumerate(texts) if t for i, item in items if item in t}
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and len(want) >= 7
+    assert _leaks(docs, spark.createDataFrame(items[:1], "item_id long, text string").limit(0)).count() == 0
