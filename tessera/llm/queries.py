@@ -15,35 +15,43 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labels of rows that aren't held out."""
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents, with their spans."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
     rows = table(spark, sf_dir, "embeddings")
     return mih.search(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without words of repeated windows."""
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc() % 4 == 2, F.lit(True))
     langs, cells = langid.fit(docs.filter(~held_out))
@@ -51,12 +59,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and checksums of all documents, read back from the store."""
     folder = scratch_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY))
     return token_store.read_sums(spark, folder)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for each document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
