@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import gates, logs, messages, modules, scores
+from ..functions import gates, logs, messages, modules, scores, text
 from ..operators import generators
 from .registry import Registry, table
 
@@ -222,3 +222,51 @@ def diamond_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     t = each_part(spark, sf_dir, rows, "id int, states int, trivial boolean, invariants int, tested boolean, caught boolean, coverage double")
     return t.select("p_partkey", scores.is_diamond(c("states"), c("trivial"), c("invariants"), c("tested"), c("caught")).alias("diamond"), F.round(scores.semantic_score(c("coverage"), c("invariants"), c("caught")), 6).alias("semantic"))
+
+
+SPLIT = "---- MODULE A ----\nx == seen\n====\nSPECIFICATION Spec\n\nINVARIANT Inv\n"
+
+
+@registry.add(_expected("(1, '---- MODULE A ----|x == seen|====', 'SPECIFICATION Spec|INVARIANT Inv'), (2, '---- MODULE A ----|====|seen text', NULL), (3, 'seen', NULL)", "id, spec, config", 3, "spec"))
+def inline_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration behind the terminator is cut off; other text there stays."""
+    rows = each_part(spark, sf_dir, [(1, SPLIT), (2, "---- MODULE A ----\n====\nseen text"), (3, "seen")], "id int, text string", "text")
+    r = modules.inline_config(F.col("text"))
+    line = lambda c: F.replace(c, F.lit("\n"), F.lit("|"))
+    return rows.select("p_partkey", line(r["spec"]).alias("spec"), line(r["config"]).alias("config"))
+
+
+@registry.add(_expected("(1, 'FooBar,Foo'), (2, ''), (3, 'Aa,Ab')", "id, names", 3))
+def called_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a body uses as whole words, longest first, then by name."""
+    rows = each_part(spark, sf_dir, [(1, "Foo(x) + FooBar + seen"), (2, "Foos BarFoo"), (3, "Ab /\\ Aa /\\ Ab")], "id int, body string", "body")
+    names = F.array(*map(F.lit, ("Ab", "Foo", "FooBar", "Bar", "Aa")))
+    return rows.select("p_partkey", F.array_join(modules.called(F.col("body"), names), ",").alias("names"))
+
+
+@registry.add(_expected("(1, 'seen/dir'), (2, 'repo:seen'), (3, NULL), (4, 'a')", "id, family", 4, "family"))
+def module_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of a module's file, else its source without the last part, else none."""
+    rows = each_part(spark, sf_dir, [(1, "repo:x:M", "seen/dir/M.tla"), (2, "repo:seen:M", None), (3, "plain", "M.tla"), (4, None, "a/M.tla")], "id int, source string, path string", "source", "path")
+    return rows.select("p_partkey", modules.family(F.col("source"), F.col("path")).alias("family"))
+
+
+@registry.add(_expected("(1, '---- MODULE Mseen ----|EXTENDS Naturals|Init == x = 0|===='), (2, '---- MODULE Mseen ----|Init == y|Next == z|====')", "id, text", 2, "text"))
+def assembled_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules put together from their pieces; empty and null pieces are left out."""
+    rows = each_part(spark, sf_dir, [(1, "Mseen", "Naturals", "x = 0", " "), (2, "Mseen", None, "y", "z")], "id int, name string, parents string, init string, next string", "name")
+    whole = modules.assembled(F.col("name"), {"EXTENDS": F.col("parents"), "Init": F.col("init"), "Next": F.col("next")})
+    return rows.select("p_partkey", F.replace(whole, F.lit("\n"), F.lit("|")).alias("text"))
+
+
+@registry.add("""SELECT p_partkey, substr(md5('{"p_brand":"' || p_brand || '","p_size":' || p_size || '}'), 1, 8) AS fingerprint FROM part""")
+def config_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight hex digits that stand for a row's settings, whatever the order of their names."""
+    return table(spark, sf_dir, "part").select("p_partkey", text.config_fingerprint("p_size", "p_brand").alias("fingerprint"))
+
+
+@registry.add("SELECT source, count(*) AS n, count(*) >= 3 AS enough FROM documents GROUP BY source HAVING count(*) > 0")
+def required_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, behind a gate that ends the job where the table has too few rows."""
+    docs = gates.require_rows(table(spark, sf_dir, "documents"), 2, "documents")
+    return docs.groupBy("source").agg(F.count("*").alias("n"), (F.count("*") >= 3).alias("enough"))

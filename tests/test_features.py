@@ -154,3 +154,11 @@ def test_leaks_of_items_of_all_lengths(spark):
     want = {(d, i) for d, t in enumerate(texts) if t for i, item in items if item in t}
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and len(want) >= 7
     assert _leaks(docs, spark.createDataFrame(items[:1], "item_id long, text string").limit(0)).count() == 0
+
+
+def test_gate_ends_the_job(spark):
+    from tessera.functions import gates
+
+    assert gates.require_rows(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError, match="4 rows, 5 are needed"):
+        gates.require_rows(spark.range(4), 5)
