@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import logs, modules, rewrite, scores, text
+from ..functions import fixer, logs, modules, rewrite, scores, text
 from ..operators import generators, verify
 from .registry import Registry, table
 
@@ -209,3 +209,73 @@ def aligned_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ragged = F.concat(F.lit("Next ==\n  /\\ a\n     /\\ b"), F.col("id").cast("string"), F.lit("\n more\n\\/ c\n"), F.col("spec"))
     t = spec_table(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, ragged).otherwise(F.col("spec")).alias("text"))
     return t.select("id", F.length("text").alias("n_before"), rewrite.indented_junctions(F.col("text")).alias("aligned"))
+
+
+M, E = "---- MODULE M ----\n", "\n===="
+#: One row for each rule of the fixer: id, module, the checker's message, and by hand what comes out and which rules are named.
+FIXES = [
+    (1, M + "(* --fair algorithm a\nbegin\nend algorithm; *)\nA == 1" + E, None, M + "\nA == 1" + E, "removed PlusCal block"),
+    (2, M + "A == 1\n(* --algorithm a\nbegin x", None, M + "A == 1\n" + E, "removed incomplete PlusCal block"),
+    (3, M + "A == 1\n--algorithm a\nbegin x", None, M + "A == 1\n" + E, "removed bare PlusCal algorithm block"),
+    (4, M + "\\* BEGIN TRANSLATION (1)\nA == 1\n\\* END TRANSLATION" + E, None, M + "\nA == 1\n" + E, "extracted TLA+ translation from PlusCal"),
+    (5, M + "A == 1\nmacro m" + E, None, M + "A == 1\n" + E, "removed PlusCal keywords"),
+    (6, "```tla\n" + M + "A == 1" + E + "\n```", None, M + "A == 1" + E, "removed markdown fences"),
+    (7, M + 'A == \\"it\'\'s\\"' + E, None, M + 'A == "it\'\'s"' + E, "unescaped quotes"),
+    (8, M + "VARIABLES\n    x  \\* one\n    y\n    z\n\nA == 1" + E, None, M + "VARIABLES\n    x,  \\* one\n    y,\n    z\n\nA == 1" + E, "added commas to VARIABLES declaration"),
+    (9, M + "CONSTANTS N \\in Nat, F \\in 1..N\n\nA == N" + E, None, M + "CONSTANTS N, F\n\nA == N" + E, "stripped inline constraints from CONSTANTS"),
+    (10, M + "A == x\'\' = 1 \\* x\'\'" + E, None, M + "A == x\' = 1 \\* x\'\'" + E, "fixed double-prime to single-prime"),
+    (11, M + "vars == {x, y}" + E, None, M + "vars == <<x, y>>" + E, "fixed vars set to tuple"),
+    (12, M + "A == UNCHANGED x, y" + E, None, M + "A == UNCHANGED <<x, y>>" + E, "wrapped UNCHANGED multi-variable in tuple"),
+    (13, M + "CONSTANT N = 5\nA == N" + E, None, M + "CONSTANT N\nA == N" + E, "removed CONSTANT value assignment"),
+    (14, M + "A == x \\notin {1, 2} /\\ y \\\\in S" + E, None, M + "A == ~(x \\in {1, 2}) /\\ y \\in S" + E, "replaced \\notin with ~(\\in)"),
+    (15, M + "VARIABLES x, y\n\nASSUME y > 0\nASSUME N > 0\nA == 1" + E, None, M + "VARIABLES x, y\n\n\nASSUME N > 0\nA == 1" + E, "removed ASSUME referencing variable"),
+    (16, M + "ASSUME\n  N > 0\n  M > 0\nA == 1" + E, "Unknown operator in ASSUME", M + "\nA == 1" + E, "removed problematic ASSUME block"),
+    (17, M + "A == 1\n", None, M + "A == 1\n" + E, "added missing ==== delimiter"),
+    (18, "-- MODULE M ---\nA == 1" + E, None, M + "A == 1" + E, "fixed MODULE header dashes"),
+    (19, M + "A == 1" + E + "===\nthat is all\nINVARIANT Inv\n\\* end", None, M + "A == 1" + E + "\nINVARIANT Inv\n\\* end", "cleaned after ==== (preserved TLC config)"),
+    (20, M + "A ==\n  /\\ a\n\n  /\\ b" + E, None, M + "A ==\n  /\\ a\n  /\\ b" + E, ""),
+    (21, M + "A ==\n  /\\ a\n    /\\ b" + E, "Item is not properly indented", M + "A ==\n  /\\ a\n  /\\ b" + E, "normalized conjunction/disjunction alignment"),
+    (22, M + "EXTENDS Naturals, Foo, TLC\nA == 1" + E, None, M + "EXTENDS Naturals, TLC\nA == 1" + E, "removed unknown EXTENDS modules"),
+    (23, M + "EXTENDS Foo, Bar\nA == 1" + E, None, M + "\nA == 1" + E, "removed EXTENDS with all unknown modules"),
+    (24, M + "VARIABLES x, y\n\nA == UNCHANGED vars" + E, None, M + "VARIABLES x, y\n\nvars == <<x, y>>\n\n\nA == UNCHANGED vars" + E, "auto-defined vars"),
+    (25, M + "VARIABLES x, y\n\nA == WF_vars(N)" + E, None, M + "VARIABLES x, y\n\nA == WF_<<x, y>>(N)" + E, "inlined vars tuple in WF/SF"),
+    (26, M + "x \\in Nat\nA == 1\ny \\in Nat" + E, None, M + "A == 1\ny \\in Nat" + E, "removed bare module-level \\in expressions"),
+    (27, M + 'A == EXISTS x \\in S : "EXISTS x"' + E, None, M + 'A == \\E x \\in S : "EXISTS x"' + E, "replaced EXISTS with \\E"),
+    (28, M + "A == FORALL x \\in S : p (* FORALL x *)" + E, None, M + "A == \\A x \\in S : p (* FORALL x *)" + E, "replaced FORALL with \\A"),
+    (29, M + "A == ALL x \\in S : p" + E, None, M + "A == \\A x \\in S : p" + E, "replaced ALL with \\A"),
+    (30, M + "A == SOME x \\in S : p" + E, None, M + "A == \\E x \\in S : p" + E, "replaced SOME with \\E"),
+    (31, M + "EXTENDS Naturals\nA == SUM({1})" + E, None, M + "EXTENDS Naturals" + fixer.SUM_DEFINITION + "\nA == SUM({1})" + E, "auto-defined SUM operator"),
+    (32, M + "A ==\n  /\\ p\n  /\\ UNCHANGED << >>" + E, None, M + "A ==\n  /\\ p\n" + E, "removed UNCHANGED <<>> (empty tuple)"),
+    (33, M + "A == [f EXCEPT ![a] = 1, [b] = 2]" + E, None, M + "A == [f EXCEPT ![a] = 1, ![b] = 2]" + E, "fixed EXCEPT missing ! before ["),
+]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# A part's key goes into the definition A of its case, so each row's text differs.
+@registry.add(f"""
+SELECT p_partkey, replace(fixed, 'A ==', 'A' || p_partkey || ' ==') AS fixed, rules
+FROM part JOIN (VALUES {", ".join(f"({i}, {_quoted(fixed)}, {_quoted(rules)})" for i, _, _, fixed, rules in FIXES)}) t(id, fixed, rules) ON p_partkey % {len(FIXES)} + 1 = t.id
+""")
+def fixed_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixer's rules over parts, one hand-made module for each rule (a few literals, broadcast)."""
+    cases = spark.createDataFrame([c[:3] for c in FIXES], "id int, spec string, errors string")
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(FIXES) + 1).cast("int").alias("id")).join(F.broadcast(cases), "id")
+    spec = F.replace("spec", F.lit("A =="), F.concat(F.lit("A"), F.col("p_partkey").cast("string"), F.lit(" ==")))
+    return fixer.with_fixed(parts, spec, F.col("errors"), "f").select("p_partkey", F.col("f.text").alias("fixed"), F.array_join("f.rules", ",").alias("rules"))
+
+
+FIXED_RULES = "added commas to VARIABLES declaration,fixed double-prime to single-prime,cleaned after ==== (preserved TLC config),removed unknown EXTENDS modules,replaced EXISTS with \\E"
+
+
+@registry.add(f"""
+WITH t AS (SELECT doc_id, replace(regexp_replace(coalesce(text, ''), '[\\n\\r\\v\\f\\x{{85}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'), '\\"', '"') AS line FROM documents)
+SELECT doc_id, {_quoted(M + "EXTENDS Naturals" + chr(10) + "VARIABLES" + chr(10) + "  x,  ")} || '\\* ' || line || {_quoted(chr(10) + "  y" + chr(10) + chr(10) + "(* EXISTS x'' *)" + chr(10) + "Next == " + chr(92) + "E z " + chr(92) + "in S : x' = z" + E)} AS fixed, {_quoted(FIXED_RULES)} AS rules FROM t
+""")
+def fixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixer over modules that hold each document's whole text as a comment: slips around it are mended, the text stays as it was."""
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r\u000B\f\u0085\u2028\u2029]+", " ")
+    spec = F.concat(F.lit(M + "EXTENDS Naturals, Prose\nVARIABLES\n  x  \\* "), line, F.lit("\n  y\n\n(* EXISTS x'' *)\nNext == EXISTS z \\in S : x'' = z" + E + "\nthe end"))
+    return fixer.with_fixed(table(spark, sf_dir, "documents").select("doc_id", "text"), spec, name="f").select("doc_id", F.col("f.text").alias("fixed"), F.array_join("f.rules", ",").alias("rules"))
