@@ -295,9 +295,13 @@ WAITING = tuple(change for _, change in WHOLE_RULES[1:3])
 def with_fixed(df: DataFrame, text: Column, errors: Column | None = None, name: str = "fixed") -> DataFrame:
     """df with a column struct(text, rules): the module with its slips put right, and the names of the rules that changed it, in order.
 
-    errors is the checker's message for the text, if there was one; a few rules apply only to what it complains of. The fold
-    is cut into projections of GROUP rules, as the analyser takes some rounds for each rule inside another.
+    errors is the checker's message for the text, if there was one; a few rules apply only to what it complains of.
     """
+    return with_rules(df, text, WHOLE_RULES, CODE_RULES, errors, name)
+
+
+def with_rules(df: DataFrame, text: Column, whole_rules: tuple, code_rules: tuple, errors: Column | None, name: str) -> DataFrame:
+    """The fold over rules of the whole text and then of its code, cut into projections of GROUP rules, as the analyser takes some rounds for each rule inside another."""
     state, told, kept = (f"__{c}_{name}" for c in ("state", "told", "kept"))
     start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("rules"))
     df = df.withColumns({state: start, told: F.lit("") if errors is None else F.coalesce(errors, F.lit(""))})
@@ -307,7 +311,7 @@ def with_fixed(df: DataFrame, text: Column, errors: Column | None = None, name:
             df = df.withColumn(state, reduce(lambda s, rule: _step(s, rule, F.col(told)), rules[i : i + GROUP], F.col(state)))
         return df
 
-    df = folded(df, WHOLE_RULES).withColumn(kept, masked(F.col(state)["text"]))
-    df = folded(df.withColumn(state, F.struct(F.col(kept)["code"].alias("text"), F.col(state)["rules"].alias("rules"))), CODE_RULES)
+    df = folded(df, whole_rules).withColumn(kept, masked(F.col(state)["text"]))
+    df = folded(df.withColumn(state, F.struct(F.col(kept)["code"].alias("text"), F.col(state)["rules"].alias("rules"))), code_rules)
     whole = F.regexp_replace(unmasked(F.col(state)["text"], F.col(kept)["kept"]), r"^\s+|\s+$", "")
     return df.withColumn(name, F.struct(whole.alias("text"), F.col(state)["rules"].alias("rules"))).drop(state, told, kept)

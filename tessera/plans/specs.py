@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixer, logs, modules, rewrite, scores, text
+from ..functions import fixer, logs, modules, rewrite, sanitiser, scores, text
 from ..operators import generators, verify
 from .registry import Registry, table
 
@@ -279,3 +279,68 @@ def fixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r\u000B\f\u0085\u2028\u2029]+", " ")
     spec = F.concat(F.lit(M + "EXTENDS Naturals, Prose\nVARIABLES\n  x  \\* "), line, F.lit("\n  y\n\n(* EXISTS x'' *)\nNext == EXISTS z \\in S : x'' = z" + E + "\nthe end"))
     return fixer.with_fixed(table(spark, sf_dir, "documents").select("doc_id", "text"), spec, name="f").select("doc_id", F.col("f.text").alias("fixed"), F.array_join("f.rules", ",").alias("rules"))
+
+
+#: One row for each rule of the sanitiser: id, module, and by hand what comes out and which rules are named.
+SANITISED = [
+    (1, M + "(* --algorithm a\nbegin\nend algorithm; *)\nA == 1" + E, M + "\nA == 1" + E, "algorithm_block"),
+    (2, M + "(* --spec a\nx\nend spec *)\nA == 1" + E, M + "\nA == 1" + E, "spec_block"),
+    (3, M + "(* --operator Foo *)\nA == 1" + E, M + "\nA == 1" + E, "algorithm_note"),
+    (4, "```tla\n" + M + "A == 1" + E, M + "A == 1" + E, "fences,module_only"),
+    (5, M + "A == 1 (* open" + E, M + "A == 1 (* open *)" + E, "open_comment"),
+    (6, M + "VARIABLES x\nVARIABLES y\nA == 1" + E, M + "VARIABLES x\nA == 1" + E, "one_declaration"),
+    (7, M + "define\n  B == 1\nend define;\nA == 1" + E, M + "\nA == 1" + E, "define_block"),
+    (8, M + "A == 1\nawait x > 0;" + E, M + "A == 1\n" + E, "statements"),
+    (9, M + "variables\n  x = 1;\nA == 1" + E, M + "A == 1" + E, "local_variables"),
+    (10, M + "A == 1\n  x := 2;" + E, M + "A == 1\n" + E, "assignments"),
+    (11, M + "A == IF a\n  THEN b\n  ELSE c\n  else\n  skip;" + E, M + "A == IF a\n  THEN b\n  ELSE c\n\n" + E, "branches"),
+    (12, M + "EXTENDS Naturals \\* n\nA == -1" + E, M + "EXTENDS Naturals, Integers \\* n\nA == -1" + E, "integers"),
+    (13, M + "EXTENDS Integers\nA == (n) / 2" + E, M + "EXTENDS Integers\nA == (n) \\div 2" + E, "division"),
+    (14, M + "A == RANGE f" + E, M + "A == {(f)[x] : x \\in DOMAIN f}" + E, "range_of"),
+    (15, M + "CONSTANT N \\in Nat\nA == N" + E, M + "CONSTANT N\nA == N" + E, "constant_set"),
+    (16, M + "CONSTANTS N, P, VARIABLES, s, t\nA == N" + E, M + "CONSTANTS N, P\nVARIABLES s, t\nA == N" + E, "constants_then_variables"),
+    (17, M + "CONSTANTS\n  N, \\* size\n  P\nA == N" + E, M + "CONSTANTS N, P\nA == N" + E, "constants_on_one_line"),
+    (18, M + "VARIABLES\n  s \\in [1..N -> S],\n  t\nA == N" + E, M + "VARIABLES s, t\nA == N" + E, "variables_on_one_line"),
+    (19, M + "VARIABLES s = 1, t = 2\nA == N" + E, M + "VARIABLES s, t\nA == N" + E, "initial_values"),
+    (20, M + "VARIABLES s \\in [1..N -> S]\nA == N" + E, M + "VARIABLES s\nA == N" + E, "variable_set"),
+    (21, M + "VARIABLES x\nInit ==\n  /\\ x = 0\n  /\\ z = 0\nA == y' = x' /\\ TRUE'" + E, M + "VARIABLES x, y, z\nInit ==\n  /\\ x = 0\n  /\\ z = 0\nA == y' = x' /\\ TRUE'" + E, "variables_declared"),
+    (22, M + "EXTENDS Naturals\nA == x' = 1" + E, M + "EXTENDS Naturals\nVARIABLES x\n\nA == x' = 1" + E, "variables_declared"),
+    (23, M + "A == a \\neq b" + E, M + "A == a # b" + E, "not_equal"),
+    (24, M + "A == a \\\\cup b" + E, M + "A == a \\cup b" + E, "double_backslash"),
+    (25, M + "A == Offset()" + E, M + "A == Offset" + E, "empty_call"),
+    (26, M + "A == (a bmod b) \\% c" + E, M + "A == (a % b) % c" + E, "modulo"),
+    (27, M + "VARIABLES v\nA == v[i]' = 1" + E, M + "VARIABLES v\nA == v'[i] = 1" + E, "prime_before_index"),
+    (28, M + "A == \\E x \\subseteq S : p" + E, M + "A == \\E x \\in SUBSET S : p" + E, "quantified_subset"),
+    (29, M + "A == \\E x \\in S, y \\in f[x], z \\in U : p" + E, M + "A == \\E x \\in S : \\E y \\in f[x] : \\E z \\in U : p" + E, "nested_quantifiers"),
+    (30, M + "A == [x \\in S : x + 1]" + E, M + "A == [x \\in S |-> x + 1]" + E, "function_arrow"),
+    (31, M + "A ==\n  /\\ x == 1\n  /\\ LET y == 1 IN y" + E, M + "A ==\n  /\\ x = 1\n  /\\ LET y == 1 IN y" + E, "equality_in_junction"),
+    (32, M + "A == Seq(S, 3)" + E, M + "A == Seq(S)" + E, "sequence_of_one"),
+    (33, M + "A == Seq[S]" + E, M + "A == Seq(S)" + E, "sequence_brackets"),
+    (34, M + "A == x \\in [1, N] /\\ f[a, b]" + E, M + "A == x \\in 1..N /\\ f[a, b]" + E, "range_brackets"),
+    (35, M + "A == a \\subset b" + E, M + "A == a \\subseteq b" + E, "subset"),
+    (36, M + "A == \\sum(S)" + E, M + "A == Sum(S)" + E, "sum"),
+    (37, M + "A == \\max" + E, M + "A == Max" + E, "max_min"),
+    (38, M + "A == x \\in Any" + E, M + "A == x \\in STRING" + E, "any"),
+    (39, M + "A == 1\nENDIF" + E, M + "A == 1\n" + E, "endif"),
+    (40, M + "A == LET y = 1 IN y" + E, M + "A == LET y == 1 IN y" + E, "let_definition"),
+    (41, M + "A == \\E x \\in S\n  p" + E, M + "A == \\E x \\in S :\n  p" + E, "open_quantifier"),
+    (42, M + "A == a /\\ (* note *) /\\ b" + E, M + "A == a /\\ b" + E, "double_junction"),
+    (43, M + "A == Filter(q, x)" + E, M + "A == SelectSeq(q, x)" + E, "select"),
+    (44, M + "A == SelectSeq(q, t' |-> t > 1)" + E, M + "VARIABLES t\n\nA == SelectSeq(q, LAMBDA t : t > 1)" + E, "variables_declared,select_lambda"),
+    (45, M + "A == Max(S)" + E, M + "A == Max(S)\nMax(S) == CHOOSE x \\in S : \\A y \\in S : x >= y" + E, "helpers"),
+    (46, "Here it is\n" + M + "A == 1" + E + "\nthat is all", M + "A == 1" + E, "module_only"),
+    (47, M + "A == 1\nB ==\n  broken [", M + "A == 1\nB ==\n" + E, "module_only"),
+    (48, M + "A == 1\n   \nB == 2" + E, M + "A == 1\n\nB == 2" + E, "blank_lines"),
+]
+
+
+@registry.add(f"""
+SELECT p_partkey, replace(text, 'A ==', 'A' || p_partkey || ' ==') AS sanitised, rules
+FROM part JOIN (VALUES {", ".join(f"({i}, {_quoted(text)}, {_quoted(rules)})" for i, _, text, rules in SANITISED)}) t(id, text, rules) ON p_partkey % {len(SANITISED)} + 1 = t.id
+""")
+def sanitised_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sanitiser's rules over parts, one hand-made module for each rule (a few literals, broadcast)."""
+    cases = spark.createDataFrame([c[:2] for c in SANITISED], "id int, spec string")
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(SANITISED) + 1).cast("int").alias("id")).join(F.broadcast(cases), "id")
+    spec = F.replace("spec", F.lit("A =="), F.concat(F.lit("A"), F.col("p_partkey").cast("string"), F.lit(" ==")))
+    return sanitiser.with_sanitised(parts, spec, "s").select("p_partkey", F.col("s.text").alias("sanitised"), F.array_join("s.rules", ",").alias("rules"))

@@ -1,9 +1,9 @@
-"""The module fixer, a hand-made row for each rule; the query over parts has the same rows."""
+"""The module fixer and the sanitiser, a hand-made row for each rule; the queries over parts have the same rows."""
 
 from pyspark.sql import functions as F
 
-from tessera.functions import fixer
-from tessera.plans.specs import FIXES
+from tessera.functions import fixer, sanitiser
+from tessera.plans.specs import FIXES, SANITISED
 
 
 def fix(spark, *rows):
@@ -32,3 +32,11 @@ def test_odd_texts(spark):
     null, empty, kept, marks = fix(spark, (None, None), ("", ""), (long, "level error"), ("﷐A == 1﷒\n====", None))
     assert null == empty == ("====", ["added missing ==== delimiter"])
     assert kept == (long, []) and marks == ("A == 1\n====", [])
+
+
+def test_each_sanitiser_rule_by_hand(spark):
+    cases = spark.createDataFrame([c[:2] for c in SANITISED], "i int, t string")
+    got = {r.i: r.s for r in sanitiser.with_sanitised(cases, F.col("t"), "s").select("i", "s").collect()}
+    for i, _, want, rules in SANITISED:
+        assert (got[i].text, ",".join(got[i].rules)) == (want, rules), i
+    assert {name for name, _ in sanitiser.WHOLE_RULES + sanitiser.CODE_RULES} == {r for c in SANITISED for r in c[3].split(",")}
