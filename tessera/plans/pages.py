@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import scratch_path
 from ..functions import text
 from ..operators import dedup
+from ..sources import paged
 from .registry import Registry, table
 
 registry = Registry()
@@ -60,3 +62,22 @@ def licence_and_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
     licence = F.coalesce("licence", F.lit("unknown"))
     return p.join(kinds, "lang", "left").filter(F.lower(licence).isin("open", "unknown") & (F.coalesce("stars", F.lit(0)) >= 1)).select("page_id", "lang", licence.alias("licence"), "stars")
+
+
+TERMS = ("/en/", "/de/", "/fr/", "/es/", "blog.", "www.", ".net/")
+TERM_ROWS = ", ".join(f"('{t}')" for t in TERMS)
+
+
+@registry.add(f"""
+SELECT url, min(page_id) AS page_id, count(DISTINCT query) AS queries FROM pages JOIN (VALUES {TERM_ROWS}) t(query) ON contains(url, query) WHERE page_id >= 0 GROUP BY url
+""")
+def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven searches' recorded pages, read by the paged source in two parts (the second resumes behind the first's pages), one row for each url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    terms = F.explode(F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(F.col("url"), t)))
+    folder = scratch_path(spark, "responses")
+    paged.record(pages.select(terms.alias("query"), "page_id", "url"), folder)
+    n = (pages.agg(F.max("page_id")).first()[0] or 0) // paged.PER_PAGE + 1
+    first = paged.search(spark, folder, list(TERMS), n // 2)
+    rest = paged.search(spark, folder, list(TERMS), n, {t: n // 2 - 1 for t in TERMS})
+    return paged.by_url(first.union(rest))
