@@ -1,7 +1,7 @@
 """Ordered rules that make a generated module readable for a parser, on the engine of `fixer`: comments and strings stay as they are.
 
 Narrower than the plain rules where these would break valid text: branches of algorithm statements are known by their lower
-case, `[a, b]` is a range only where nothing is applied to it, `==` behind LET stays. Names of up to any number are kept; the
+case, `[a, b]` is a range only where nothing is applied to it, `==` behind LET stays. The
 order of added variables is that of their code points. Case rules are those of `fixer`.
 """
 
