@@ -249,7 +249,7 @@ def test_links_move_a_set_once_for_many_pairs(spark):
     df = frame(spark, list(enumerate(texts)), "doc_id long, text string").checkpoint()
     before = written(spark)
     assert len(dedup.token_links(df).collect()) == 60 * 59 // 2
-    assert written(spark) - before < 6 * sum(map(len, texts))
+    assert written(spark) - before < 2 * sum(map(len, texts))
 
 
 def test_links_are_those_of_all_pairs(spark, monkeypatch):
