@@ -1,31 +1,28 @@
 """Near dedup against what was kept, by a stored index that grows with each batch.
 
-A token set's items are ordered once and for all: those that the first batch shows to be frequent
-last, the others by a hash. Two sets of similarity t share an item among the first
-n - ceil(t n) + 1 of each (n items), so the index has, for each kept row, these items with the row's
-id and size, and the whole set beside. A batch joins its own first items with the stored ones and with
-each other, checks what it meets by whole sets, drops what is like a kept row, and decides the rest in
-order of position. It adds its kept rows to the index under its number.
-
-Frequent items: at most FREQUENT, those in over a thousandth of the first batch's sets; sorted last,
-they are hardly ever among the first items, so a frequent item's postings don't pair everything.
+The index has, for each kept row, the prefix of its token set (near_links.py): numbers of its first
+tokens in an order that the first batch with any token fixes for all batches. A batch meets the stored
+prefixes and its own, candidates are checked by the tokens themselves, of the batch and of the kept table, what is
+like a kept row is dropped, and the rest is decided in order of position. Sets are stored nowhere and
+move once for each cell of pairs that needs them. The batch adds its kept rows to the index under its number.
 
 Cases: rows without tokens have no near copy and are kept. Equal sets are near. Positions are
 distinct over all batches. An empty batch adds nothing. A repeated batch reads only earlier batches,
-so it keeps the same rows and writes the same folders.
+so it keeps the same rows and writes the same folders. A batch is read several times, so it should be
+cheap to read, as files are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 from ..functions.text import token_set
+from . import near_links
 from .dedup import online_keep
 
-FREQUENT = 4096
-
 
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,57 +37,41 @@ class NearIndex:
         path = f"{self.folder}/{kind}"
         return spark.read.parquet(path).filter(F.col("batch") < number) if number and _exists(spark, path) else None
 
-    def _frequent(self, sets: DataFrame, number: int) -> DataFrame:
-        """item: the frequent items of the first batch that had any set, stored with it."""
-        spark, path = sets.sparkSession, f"{self.folder}/frequent"
-        stored = self._earlier(spark, "frequent", number)
-        if stored is not None:
-            first = stored.agg(F.min("batch")).first()[0]
-            if first is not None:
-                return stored.filter(F.col("batch") == first).select("item")
-        least = sets.count() / 1000
-        counts = sets.select(F.explode("set").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-        counts.filter((F.col("n") > least) & (F.col("n") > 1)).orderBy(F.desc("n"), "item").limit(FREQUENT).select("item").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        return spark.read.schema("item long").parquet(f"{path}/batch={number}")
-
-    def _first_items(self, sets: DataFrame, frequent: DataFrame) -> DataFrame:
-        """id, size, item: the first items of each set."""
-        known = frequent.agg(F.collect_set("item").alias("known"))  # FREQUENT at most
-        keep: Column = (F.size("set") - F.ceil(F.size("set") * self.threshold) + 1).cast("int")
-        order = F.array_sort(F.transform("set", lambda x: F.struct(F.array_contains("known", x).alias("late"), x.alias("item"))))
-        first = sets.crossJoin(F.broadcast(known)).select("id", F.size("set").alias("size"), F.explode(F.slice(order, F.lit(1), keep)).alias("x"))
-        return first.select("id", "size", F.col("x.item").alias("item"))
-
-    def _met(self, left: DataFrame, right: DataFrame, left_sets: DataFrame, right_sets: DataFrame, within: bool) -> DataFrame:
-        """a, b: rows of left (b) and right (a) whose sets are similar enough; within one batch a < b."""
-        t = self.threshold
-        right = right.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "item")
-        near = left.join(right, "item").filter(F.least("size", "size_a") >= t * F.greatest("size", "size_a"))
-        pairs = (near.filter("a < id") if within else near).select("a", F.col("id").alias("b")).distinct()
-        both = pairs.join(right_sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(left_sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.filter(shared >= t * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    def _docs(self, df: DataFrame) -> DataFrame:
+        return df.select(F.col(self.position).cast("long").alias("id"), F.col(self.text).alias("text"))
+
+    def _order(self, docs: DataFrame, number: int) -> np.ndarray:
+        """The tokens' order, by the counts of the first batch that had any, stored with it. A row of bucket -1 says that it had, even if none came twice."""
+        spark, path = docs.sparkSession, f"{self.folder}/order"
+        stored = self._earlier(spark, "order", number)
+        first = stored.agg(F.min("batch")).first()[0] if stored is not None else None
+        if first is None:
+            any_ = docs.filter(F.size(token_set(F.col("text"))) > 0).limit(1).select(F.lit(-1).alias("bucket"), F.lit(0).alias("level"))
+            near_links.token_counts(docs).union(any_).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            counts = spark.read.schema("bucket int, level int").parquet(f"{path}/batch={number}")
+        else:
+            counts = stored.filter(F.col("batch") == first)
+        return near_links.token_order(counts.filter("bucket >= 0"))
 
     def add(self, batch: DataFrame, number: int) -> None:
         """Keep the batch's rows that are new, and index them."""
-        spark = batch.sparkSession
-        sets = F.transform(token_set(F.col(self.text)), lambda x: F.xxhash64(x))
-        rows = checkpointed(batch.select(F.col(self.position).cast("long").alias("id"), F.array_distinct(F.coalesce(sets, F.array().cast("array<long>"))).alias("set")))
-        full = rows.filter(F.size("set") > 0)
-        # Equal sets of a batch: the first stands for all, so copies meet nothing twice.
-        classes = checkpointed(full.groupBy(F.xxhash64(F.array_sort("set")).alias("digest")).agg(F.min_by("set", "id").alias("set"), F.min("id").alias("id")))
-        first = checkpointed(self._first_items(classes, self._frequent(classes, number)))
-        items, kept_sets = self._earlier(spark, "items", number), self._earlier(spark, "sets", number)
-        fresh = classes.select("id")
+        spark, t, docs = batch.sparkSession, self.threshold, self._docs(batch)
+        links_of = lambda left, right, of, within: near_links.verified(checkpointed(near_links.candidates(left, right, t, within)), of, t, "text", "id").select("a", "b")
+        # Equal sets of a batch: the first stands for all. Tokens that come once here may come again later, so they stay in the prefixes.
+        fresh = checkpointed(near_links.prefixes(docs, self._order(docs, number), t, "text", "id", alone=True))
+        items = self._earlier(spark, "items", number)
         if items is not None:
-            fresh = checkpointed(fresh.join(self._met(first, items, classes, kept_sets, False).select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        own = first.join(fresh, "id", "left_semi")
-        links = checkpointed(self._met(own, own, classes, classes, True))
+            known = docs.union(self._docs(self._earlier(spark, "kept", number)))
+            near = links_of(items.drop("batch"), fresh, known, False).select(F.col("b").alias("id")).distinct()
+            fresh = checkpointed(fresh.join(near, "id", "left_anti"))
+        links = checkpointed(links_of(fresh, fresh, docs, True))
         linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        kept = online_keep(fresh.join(linked, "id", "left_semi"), links, checkpointed).filter("kept").select("id").union(fresh.join(linked, "id", "left_anti"))
+        ids = fresh.select("id")
+        kept = online_keep(ids.join(linked, "id", "left_semi"), links, checkpointed).filter("kept").select("id").union(ids.join(linked, "id", "left_anti"))
         kept = checkpointed(kept)
         out = lambda df, kind: df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={number}")
-        out(first.join(kept, "id", "left_semi"), "items")
-        out(classes.select("id", "set").join(kept, "id", "left_semi"), "sets")
-        stays = kept.union(rows.filter(F.size("set") == 0).select("id"))
-        out(batch.join(stays.withColumnRenamed("id", "__id"), F.col(self.position).cast("long") == F.col("__id"), "left_semi"), "kept")
+        out(fresh.join(kept, "id", "left_semi"), "items")
+        stays = kept.union(docs.filter(F.coalesce(F.size(token_set(F.col("text"))), F.lit(0)) <= 0).select("id")).withColumnRenamed("id", "__id")
+        # Ids go to the texts, not texts through a shuffle, but for very large batches.
+        few = kept.count() <= near_links.BROADCAST_ROWS
+        out(batch.join(F.broadcast(stays) if few else stays, F.col(self.position).cast("long") == F.col("__id"), "left_semi"), "kept")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +28,18 @@ def _end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return streams.run_to_end(stream, scratch_path(stream.sparkSession, "stream"), mode)
 
 
-def _in_parts(df: DataFrame, cuts: list, column: str, **how) -> DataFrame:
-    """A table as a stream of so many files and one more, a batch each: the rows up to each cut of a column, in turn."""
+def _in_parts(df: DataFrame, cuts: list, column: str) -> Iterator[DataFrame]:
+    """A table as a stream, a batch for the rows up to each cut of a column, in turn, and for the rest. The same folder's stream is given once its next files are there, for a run that goes on from the last one's checkpoint.
+
+    All tasks write a part, and only one part is there at a time.
+    """
     spark, folder = df.sparkSession, scratch_path(df.sparkSession, "parts")
     low = None
     for high in [*cuts, None]:
         part = df if low is None else df.filter(F.col(column) > low)
-        (part if high is None else part.filter(F.col(column) <= high)).coalesce(1).write.mode("append").parquet(folder)
+        (part if high is None else part.filter(F.col(column) <= high)).write.mode("overwrite").parquet(folder)
+        yield streams.file_stream(spark, folder, df.schema, None)
         low = high
-    return streams.file_stream(spark, folder, df.schema, 1)
 
 
 @registry.add("SELECT event_type, user_id, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, user_id FROM events) GROUP BY ALL")
@@ -59,7 +64,9 @@ def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches through the state store: best value, counter with resets, run of low values with alarms, last five values and counts by kind of each key, after all of them."""
     events = table(spark, sf_dir, "events")
     n = events.agg(F.max("event_id")).first()[0] or 0
-    states = _end(streams.keyed_state(_in_parts(events, [n // 3, 2 * n // 3], "event_id")), "update")
+    out = scratch_path(spark, "stream")
+    for part in _in_parts(events, [n // 3, 2 * n // 3], "event_id"):
+        states = streams.run_to_end(streams.keyed_state(part), out, "update")
     last = states.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in states.columns if c != "user_id"]), "seen").alias("s")).select("user_id", "s.*")
     cents = F.array_join(F.transform("last", lambda v: F.round(v * 100).cast("long").cast("string")), ",")
     return last.select("user_id", "best", "rows", "resets", "run", "alarms", "seen", cents.alias("last_cents"), "kinds")
@@ -71,8 +78,8 @@ def stream_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.agg(F.max("doc_id")).first()[0] or 0
     folder = scratch_path(spark, "near-index")
-    parts = _in_parts(docs, [n // 3, 2 * n // 3], "doc_id")
-    parts.writeStream.foreachBatch(streams.dedup_against(folder)).option("checkpointLocation", f"{folder}.log").trigger(availableNow=True).start().awaitTermination()
+    for part in _in_parts(docs, [n // 3, 2 * n // 3], "doc_id"):
+        part.writeStream.foreachBatch(streams.dedup_against(folder)).option("checkpointLocation", f"{folder}.log").trigger(availableNow=True).start().awaitTermination()
     return streams.kept_rows(spark, folder).select("doc_id")
 
 

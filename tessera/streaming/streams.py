@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
-def file_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, so many files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files: int | None = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, so many files a batch; None: all that are new."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

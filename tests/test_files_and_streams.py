@@ -1,11 +1,15 @@
 """Sources, sinks and streams on small folders."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import catalogue
+from tessera.plans import streams as stream_queries
 from tessera.sources import files, sinks
 from tessera.streaming import streams
+from tests.test_functions import written
 
 
 def test_json_lines_modes(spark, tmp_path):
@@ -88,6 +92,43 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 6] and got.columns == ["doc_id", "text", "batch_name"]
 
 
+def test_words_that_later_batches_repeat_keep_the_order(spark, tmp_path):
+    """No word comes twice in the first batch; in the second half of each row's do, beside a near copy of the row."""
+    kept = str(tmp_path / "kept")
+    step = streams.dedup_against(kept)
+    words = [[f"f{k}w{i}" for i in range(10)] for k in range(40)]
+    copies = [(100 + k, " ".join([*w[:9], f"x{k}"])) for k, w in enumerate(words)]
+    others = [(1000 + 10 * k + i, f"{w} {w}a {w}b") for k, own in enumerate(words) for i, w in enumerate(own[:5])]
+    for i, rows in enumerate(([(k, " ".join(w)) for k, w in enumerate(words)], copies + others)):
+        step(spark.createDataFrame(rows, "doc_id long, text string"), i)
+    assert sorted(r.doc_id for r in streams.kept_rows(spark, kept).collect()) == [*range(40), *(i for i, _ in others)]
+
+
+def test_near_index_moves_a_set_once_for_many_pairs(spark, tmp_path):
+    rnd = random.Random(5)
+    words = [f"{rnd.getrandbits(64):x}" for _ in range(1500)]
+    texts = [" ".join(w for w in words if rnd.random() < 0.95) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").checkpoint()
+    step = streams.dedup_against(str(tmp_path / "kept"))
+    before, bound = written(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        step(df, 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert [r.doc_id for r in streams.kept_rows(spark, str(tmp_path / "kept")).collect()] == [0]
+    assert written(spark) - before < 3 * sum(map(len, texts))
+
+
+def test_parts_of_a_stream_are_written_by_all_tasks(spark, tmp_path):
+    """Each part is a batch, however many files it has."""
+    seen = []
+    for part in stream_queries._in_parts(spark.range(0, 100, 1, 4), [32, 65], "id"):
+        step = lambda batch, number: seen.append((number, sorted(r.id for r in batch.collect()), batch.select(F.input_file_name()).distinct().count()))
+        part.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(0, list(range(33)), 2), (1, list(range(33, 66)), 2), (2, list(range(66, 100)), 2)]
+
+
 def test_stream_near_dedup_is_the_batch_rule(spark):
     queries = catalogue.queries()
     got, want = (sorted(r.doc_id for r in queries[n](spark, "/root/testdata/sf0.001").collect()) for n in ("stream_near_dedup", "near_dup_online_keep"))
