@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixer, logs, modules, rewrite, sanitiser, scores, text
 from ..operators import generators, verify
-from .registry import Registry, table
+from .registry import Registry, dealt, table
 
 registry = Registry()
 
@@ -44,7 +44,8 @@ S = f"s AS (SELECT p_partkey AS id, p_name, p_type, {SPEC} AS spec FROM part)"
 def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 11 == 0, "MCCore").otherwise("Mod")
     lines = [F.when(F.expr(c.replace("true", "true")), F.replace(F.replace(F.lit(line), F.lit("{m}"), name), F.lit("{k}"), F.col("p_partkey").cast("string"))) for c, line in LINES]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", F.concat_ws("\n", *lines).alias("spec"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"))
+    return parts.select(F.col("p_partkey").alias("id"), "p_name", "p_type", F.concat_ws("\n", *lines).alias("spec"))
 
 
 def _any(pattern: str) -> str:
@@ -262,7 +263,7 @@ FROM part JOIN (VALUES {", ".join(f"({i}, {_quoted(fixed)}, {_quoted(rules)})" f
 def fixed_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixer's rules over parts, one hand-made module for each rule (a few literals, broadcast)."""
     cases = spark.createDataFrame([c[:3] for c in FIXES], "id int, spec string, errors string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(FIXES) + 1).cast("int").alias("id")).join(F.broadcast(cases), "id")
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", (F.col("p_partkey") % len(FIXES) + 1).cast("int").alias("id")).join(F.broadcast(cases), "id")
     spec = F.replace("spec", F.lit("A =="), F.concat(F.lit("A"), F.col("p_partkey").cast("string"), F.lit(" ==")))
     return fixer.with_fixed(parts, spec, F.col("errors"), "f").select("p_partkey", F.col("f.text").alias("fixed"), F.array_join("f.rules", ",").alias("rules"))
 
@@ -341,6 +342,6 @@ FROM part JOIN (VALUES {", ".join(f"({i}, {_quoted(text)}, {_quoted(rules)})" fo
 def sanitised_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sanitiser's rules over parts, one hand-made module for each rule (a few literals, broadcast)."""
     cases = spark.createDataFrame([c[:2] for c in SANITISED], "id int, spec string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(SANITISED) + 1).cast("int").alias("id")).join(F.broadcast(cases), "id")
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", (F.col("p_partkey") % len(SANITISED) + 1).cast("int").alias("id")).join(F.broadcast(cases), "id")
     spec = F.replace("spec", F.lit("A =="), F.concat(F.lit("A"), F.col("p_partkey").cast("string"), F.lit(" ==")))
     return sanitiser.with_sanitised(parts, spec, "s").select("p_partkey", F.col("s.text").alias("sanitised"), F.array_join("s.rules", ",").alias("rules"))
