@@ -42,7 +42,7 @@ def tasks(df: DataFrame, id_: str, description: str, spec: str) -> DataFrame:
     d, s = F.col(description), F.col(spec)
     kinds = {"generation": generation(d, s), "completion": completion(s), "invariant": invariant_task(s), "bug_fix": bug_fix(s, F.lit("stray ;"), F.replace(s, F.lit(";"), F.lit("")))}
     rows = F.array_compact(F.array(*[F.when(m.isNotNull(), F.struct(F.lit(k).alias("task"), m.alias("messages"))) for k, m in kinds.items()]))
-    return df.select(id_, F.explode(rows).alias("t")).select(id_, "t.task", "t.messages")
+    return df.select(id_, F.explode_outer(rows).alias("t")).filter("t is not null").select(id_, "t.task", "t.messages")
 
 
 # What invariants are called, words that stay whole, and the head of the list of properties.
@@ -114,7 +114,8 @@ def staged(df: DataFrame, id_: str, spec: str) -> DataFrame:
     header = F.regexp_extract(s, r"(?s)^(.*?)(?=\n\w+\s*==|\z)", 1)
     bodies = [header, *[F.concat(F.lit(f"{n} == "), modules.body(s, n)) for n in STAGES[1:]]]
     parts = F.array_compact(F.array(*[F.when(b.isNotNull() & (b != ""), F.struct(F.lit(n).alias("stage"), b.alias("body"))) for n, b in zip(STAGES, bodies, strict=True)]))
-    rows = df.filter(F.length(s) > 0).select(id_, parts.alias("parts")).select(id_, "parts", F.posexplode("parts").alias("place", "p"))
+    # A plain explode brings a filter on the parts, which goes below the rows' deal to tasks and finds all parts once more there.
+    rows = df.filter(F.length(s) > 0).select(id_, parts.alias("parts")).select(id_, "parts", F.posexplode_outer("parts").alias("place", "p")).filter("p is not null")
     prefix = F.array_join(F.transform(F.slice("parts", F.lit(1), F.col("place")), lambda p: p["body"]), "\n")
     return rows.select(id_, "place", F.col("p.stage").alias("stage"), prefix.alias("prefix"), F.col("p.body").alias("body"))
 
@@ -182,7 +183,7 @@ def decomposed(df: DataFrame, id_: str, spec: str) -> DataFrame:
     s = F.col(spec)
     one = lambda n: F.nullif(F.regexp_extract(s, rf"(?m)^{n}\s*==\s*([^\n]*)", 1), F.lit(""))
     parts = F.array_compact(F.array(*[F.when(one(n).isNotNull(), F.struct(F.lit(n.lower()).alias("part"), one(n).alias("body"))) for n in ("Init", "Next")]))
-    return df.select(id_, F.explode(parts).alias("p")).select(id_, "p.part", "p.body")
+    return df.select(id_, F.explode_outer(parts).alias("p")).filter("p is not null").select(id_, "p.part", "p.body")
 
 
 def theorem_chunks(df: DataFrame, id_: str, spec: str) -> DataFrame:

@@ -7,3 +7,8 @@ SF = "/root/testdata/sf0.1"
 
 def test_specifications_are_dealt(spark):
     assert specs.spec_table(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_stages_are_found_after_the_deal(spark):
+    plan = specs.staged_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.split("Repartition", 1)[1]
