@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gates, logs, messages, modules, scores, text
 from ..operators import generators
-from .registry import Registry, table
+from .registry import Registry, dealt, table
 
 registry = Registry()
 
@@ -40,7 +40,7 @@ MODULES = [
 def each_part(spark: SparkSession, sf_dir: str, cases: list, schema: str, *named: str) -> DataFrame:
     """p_partkey and one of the cases (numbered from 1 in their first column id; broadcast, as they are a few literals) for each part. In the columns named, the word `seen` has the part's key behind it."""
     n = max(c[0] for c in cases)
-    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % n + 1).cast("int").alias("id"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", (F.col("p_partkey") % n + 1).cast("int").alias("id"))
     rows = parts.join(F.broadcast(spark.createDataFrame(cases, schema)), "id")
     return rows.withColumns({c: F.replace(c, F.lit("seen"), F.concat(F.lit("seen"), F.col("p_partkey").cast("string"))) for c in named})
 
