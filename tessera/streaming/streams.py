@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,11 +90,14 @@ class LastState(StatefulProcessor):
         self.last = handle.getListState("last", "value double")
         self.kinds = handle.getMapState("kinds", "kind string", "n long")
 
-    def _row(self, key, expired: bool) -> pd.DataFrame:
-        best, n, resets, run, alarms, seen = self.state.get()
-        last = [x[0] for x in self.last.get()]
-        kinds = ",".join(f"{k[0]}={v[0]}" for k, v in sorted((tuple(k), tuple(v)) for k, v in self.kinds.iterator()))
-        return pd.DataFrame({"user_id": [key[0]], "best": [best], "rows": [n], "resets": [resets], "run": [run], "alarms": [alarms], "seen": [seen], "last": [last], "kinds": [kinds], "expired": [expired]})
+    def _row(self, key, state: tuple, last: list, kinds: dict, expired: bool) -> pd.DataFrame:
+        best, n, resets, run, alarms, seen = state
+        shown = ",".join(f"{k}={v}" for k, v in sorted(kinds.items()))
+        return pd.DataFrame({"user_id": [key[0]], "best": [best], "rows": [n], "resets": [resets], "run": [run], "alarms": [alarms], "seen": [seen], "last": [last], "kinds": [shown], "expired": [expired]})
+
+    def _known(self) -> tuple[tuple | None, list, dict]:
+        """The key's state, each part asked for once: every call goes to the JVM and back."""
+        return self.state.get(), [x[0] for x in self.last.get()], {k[0]: v[0] for k, v in self.kinds.iterator()}
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
         row = initialState.iloc[0]
@@ -103,15 +107,15 @@ class LastState(StatefulProcessor):
             self.kinds.updateValue((k,), (int(v),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best, n, resets, run, alarms, seen = self.state.get() if self.state.exists() else (float("-inf"), 0, 0, 0, 0, 0)
-        last = [x[0] for x in self.last.get()] if self.last.exists() else []
+        state, last, kinds = self._known()
+        best, n, resets, run, alarms, seen = state or (float("-inf"), 0, 0, 0, 0, 0)
         parts, newest = [], 0
         for pdf in rows:
             parts.append((pdf["event_id"].to_numpy("i8"), pdf["value"].to_numpy("f8")))
-            for kind, m in pdf["event_type"].value_counts().items():
-                had = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-                self.kinds.updateValue((kind,), (had + int(m),))
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+            for kind, m in Counter(pdf["event_type"].dropna().tolist()).items():
+                kinds[kind] = kinds.get(kind, 0) + m
+            if self.idle_ms:
+                newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
         ids, values = (np.concatenate(x) for x in zip(*parts))
         for value in values[np.argsort(ids, kind="stable")].tolist():
             best, n, seen = max(best, value), n + 1, seen + 1
@@ -121,16 +125,19 @@ class LastState(StatefulProcessor):
             if run == self.streak:
                 run, alarms = 0, alarms + 1
             last = [*last[1 - self.LAST :], value]
-        self.state.update((best, n, resets, run, alarms, seen))
+        state = (best, n, resets, run, alarms, seen)
+        self.state.update(state)
         self.last.put([(v,) for v in last])
+        for kind, m in kinds.items():
+            self.kinds.updateValue((kind,), (m,))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(newest + self.idle_ms)
-        yield self._row(key, False)
+        yield self._row(key, state, last, kinds, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._row(key, True)
+        yield self._row(key, *self._known(), True)
         for state in (self.state, self.last, self.kinds):
             state.clear()
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,36 @@ def test_keyed_state_over_batches_is_one_fold(spark, tmp_path):
     assert again == end
 
 
+class Calls:
+    """A state variable that counts what it is asked."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            return {"get": None if self.kind == "value" else [], "exists": False, "containsKey": False, "iterator": []}.get(name)
+
+        return call
+
+
+def test_a_key_asks_for_its_state_once():
+    """Three reads and two writes a key and batch, and a write for each kind."""
+    state = streams.LastState()
+    made = {}
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *args: made.setdefault(name, type("One", (Calls,), {"kind": name[3:-5].lower()})())
+
+    state.init(Handle())
+    rows = pd.DataFrame({"event_id": [2, 1], "event_type": ["a", "b"], "ts": pd.Timestamp(0), "value": [1.0, 9.0]})
+    got = next(state.handleInputRows((7,), iter([rows]), None)).iloc[0]
+    assert (got["best"], got["seen"], got["last"], got["kinds"]) == (9.0, 2, [9.0, 1.0], "a=1,b=1")
+    assert sum(c.n for c in made.values()) == 3 + 2 + 2
+
+
 def test_idle_keys_are_forgotten(spark, tmp_path):
     """A key that is quiet while event time goes on is emitted as expired and begins anew."""
     for ids in ((0, 1, 3), (900, 901), (1800, 1801), (3102,)):
