@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, stored
 from ..functions.text import token_set
 from . import near_links
 from .dedup import online_keep
@@ -56,15 +56,15 @@ class NearIndex:
     def add(self, batch: DataFrame, number: int) -> None:
         """Keep the batch's rows that are new, and index them."""
         spark, t, docs = batch.sparkSession, self.threshold, self._docs(batch)
-        links_of = lambda left, right, of, within: near_links.verified(checkpointed(near_links.candidates(left, right, t, within)), of, t, "text", "id").select("a", "b")
+        links_of = lambda left, right, of: near_links.verified(stored(near_links.candidates(left, right, t)), of, t, "text", "id").select("a", "b")
         # Equal sets of a batch: the first stands for all. Tokens that come once here may come again later, so they stay in the prefixes.
-        fresh = checkpointed(near_links.prefixes(docs, self._order(docs, number), t, "text", "id", alone=True))
+        fresh = stored(near_links.prefixes(docs, self._order(docs, number), t, "text", "id", alone=True))
         items = self._earlier(spark, "items", number)
         if items is not None:
             known = docs.union(self._docs(self._earlier(spark, "kept", number)))
-            near = links_of(items.drop("batch"), fresh, known, False).select(F.col("b").alias("id")).distinct()
-            fresh = checkpointed(fresh.join(near, "id", "left_anti"))
-        links = checkpointed(links_of(fresh, fresh, docs, True))
+            near = links_of(items.drop("batch"), fresh, known).select(F.col("b").alias("id")).distinct()
+            fresh = stored(fresh.join(near, "id", "left_anti"))
+        links = stored(links_of(fresh, None, docs))
         linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
         ids = fresh.select("id")
         kept = online_keep(ids.join(linked, "id", "left_semi"), links, checkpointed).filter("kept").select("id").union(ids.join(linked, "id", "left_anti"))

@@ -266,3 +266,32 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch):
             first.setdefault(frozenset(t.split()), i)
     want = {(i, j): len(s & u) / len(s | u) for s, i in first.items() for u, j in first.items() if i < j and len(s & u) / len(s | u) >= 0.8}
     assert {(r.a, r.b): r.jaccard for r in dedup.token_links(df).collect()} == want and len(want) > 100
+
+
+def test_links_write_no_row_for_each_meeting(spark):
+    """Rows of frequent words: most share some, none are alike."""
+    rnd = random.Random(7)
+    df = frame(spark, [(i, " ".join(rnd.sample([f"w{j}" for j in range(120)], 40))) for i in range(1500)], "doc_id long, text string").checkpoint()
+    before = written(spark)
+    assert not dedup.token_links(df).collect()
+    assert written(spark) - before < 5e5
+
+
+def test_links_of_small_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """Blocks of a few rows, equal sizes cut by a hash, few meetings at a time; within a table and between two."""
+    for name, n in (("BLOCK_ITEMS", 40), ("SMALL_BLOCK", 40), ("STEP", 50)):
+        monkeypatch.setattr(near_links, name, n)
+    rnd = random.Random(8)
+    base = [[f"v{rnd.randrange(60)}" for _ in range(n)] for n in (3, 12, 12, 13, 30, 31, 60)]
+    texts = [" ".join(w for w in rnd.choice(base) if rnd.random() < 0.95) for _ in range(160)]
+    sets = {i: frozenset(t.split()) for i, t in enumerate(texts) if t}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    df = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    first = sorted({s: i for i, s in reversed(sets.items())}.values())
+    links = dedup.token_links(df).collect()
+    assert sorted((r.a, r.b) for r in links) == [(i, j) for i in first for j in first if i < j and alike(i, j)] and len(links) > 100
+    order = near_links.token_order(near_links.token_counts(df))
+    halves = [near_links.prefixes(df.filter(f"doc_id % 2 = {k}"), order, 0.8, alone=True).checkpoint() for k in (0, 1)]
+    met = near_links.candidates(*halves, 0.8).collect()
+    kept = [{r.id for r in h.collect()} for h in halves]
+    assert len(set(met)) == len(met) and {(i, j) for i in kept[0] for j in kept[1] if alike(i, j)} <= {(r.a, r.b) for r in met}
