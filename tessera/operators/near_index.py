@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed, stored
+from ..checkpoints import stored
 from ..functions.text import token_set
 from . import near_links
 from .dedup import online_keep
@@ -63,15 +63,17 @@ class NearIndex:
         if items is not None:
             known = docs.union(self._docs(self._earlier(spark, "kept", number)))
             near = links_of(items.drop("batch"), fresh, known).select(F.col("b").alias("id")).distinct()
-            fresh = stored(fresh.join(near, "id", "left_anti"))
+            fresh = stored(fresh.join(near_links.few(stored(near)), "id", "left_anti"))
         links = stored(links_of(fresh, None, docs))
-        linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        ids = fresh.select("id")
-        kept = online_keep(ids.join(linked, "id", "left_semi"), links, checkpointed).filter("kept").select("id").union(ids.join(linked, "id", "left_anti"))
-        kept = checkpointed(kept)
+        linked = stored(links.select(F.col("a").alias("id")).union(links.select("b")).distinct())
+        # What goes is little beside what stays.
+        gone = near_links.few(stored(online_keep(linked, links, stored).filter("not kept").select("id")))
+        fresh = fresh.join(gone, "id", "left_anti")
+        kept = stored(fresh.select("id"))
         out = lambda df, kind: df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={number}")
-        out(fresh.join(kept, "id", "left_semi"), "items")
-        stays = kept.union(docs.filter(F.coalesce(F.size(token_set(F.col("text"))), F.lit(0)) <= 0).select("id")).withColumnRenamed("id", "__id")
+        out(fresh, "items")
+        wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\S")).select("id")
+        stays = kept.union(wordless).withColumnRenamed("id", "__id")
         # Ids go to the texts, not texts through a shuffle, but for very large batches.
         few = kept.count() <= near_links.BROADCAST_ROWS
         out(batch.join(F.broadcast(stays) if few else stays, F.col(self.position).cast("long") == F.col("__id"), "left_semi"), "kept")
